@@ -67,3 +67,4 @@ def load_all() -> None:
     """Import every plan module so their queries register."""
     from recspark.plans import prep_plans, scoring_plans, metric_plans  # noqa: F401
     from recspark.plans import ab_plans, serving_plans, model_plans, tracking_plans  # noqa: F401
+    from recspark.plans import stream_plans  # noqa: F401
