@@ -77,7 +77,7 @@ def power_plan(spark, sf):
 
 
 def _model_errors(spark, sf):
-    ratings = ratings_view(spark, sf)
+    ratings = ratings_view(spark, sf, persist=True)
     uf, itf = user_factors_view(spark, sf, ratings), item_factors_view(spark, sf)
     test = prep.temporal_split(ratings).filter(F.col("split") == "test").select(
         "userId", "movieId", "rating")

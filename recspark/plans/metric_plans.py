@@ -43,7 +43,7 @@ metric_rows AS (
 
 
 def _inputs(spark, sf):
-    ratings = ratings_view(spark, sf)
+    ratings = ratings_view(spark, sf, persist=True)
     uf = user_factors_view(spark, sf, ratings)
     itf = item_factors_view(spark, sf)
     mu = global_mean(ratings)
@@ -230,7 +230,7 @@ SELECT userId FROM user_factors
 INTERSECT SELECT userId FROM temporal_split WHERE split = 'train'""", V)
 def common_users(spark, sf):
     """Users known to the factor model and present in the training split."""
-    ratings = ratings_view(spark, sf)
+    ratings = ratings_view(spark, sf, persist=True)
     uf = user_factors_view(spark, sf, ratings)
     train = prep.temporal_split(ratings).filter(F.col("split") == "train")
     return metrics.common_users(uf, train)

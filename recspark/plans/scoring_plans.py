@@ -14,7 +14,7 @@ DOT = "list_dot_product({a}, {b})"
 
 
 def _factors(spark, sf):
-    ratings = ratings_view(spark, sf)
+    ratings = ratings_view(spark, sf, persist=True)
     return ratings, user_factors_view(spark, sf, ratings), item_factors_view(spark, sf)
 
 

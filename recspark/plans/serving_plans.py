@@ -28,7 +28,7 @@ SELECT user_id, movieId, score, rank, strategy, 10::BIGINT AS n, {_GRP} AS exper
   CROSS JOIN ({_POP_KNOWN}) p) s""", SV, round_cols=["score"], bigint_cols=["rank"])
 def serve_batch(spark, sf):
     """V1: materialised top-10 with strategy and experiment group for every requesting user."""
-    ratings = ratings_view(spark, sf)
+    ratings = ratings_view(spark, sf, persist=True)
     uf, itf = user_factors_view(spark, sf, ratings), item_factors_view(spark, sf)
     popular = scoring.popular_items(ratings, 10, items=itf)
     return serving.serve_batch(request_log_view(spark, sf), uf, itf, global_mean(ratings), popular, 10,
@@ -53,7 +53,7 @@ FROM cl2 {group}"""
 
 
 def _classified(spark, sf):
-    ratings = ratings_view(spark, sf)
+    ratings = ratings_view(spark, sf, persist=True)
     uf = user_factors_view(spark, sf, ratings)
     return serving.classify_requests(request_log_view(spark, sf), uf)
 

@@ -15,6 +15,7 @@ All are lazy DataFrames; nothing is collected except scalar counts.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,9 +46,12 @@ def raw_interactions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ratings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ratings_view(spark: SparkSession, sf_dir: str, persist: bool = False) -> DataFrame:
     """One rating per (user, movie): the line of the latest order.
 
+    ``persist`` keeps the table (memory, then disk) for plans that run several
+    actions over it; a lost block is recomputed from the lineage.
+
     A max over a struct of the ordering columns is a plain aggregate, so Spark
     combines map-side before the shuffle and a hot user never needs one task
     to sort all of its lines (which a row_number window would).
@@ -56,8 +60,9 @@ def ratings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = raw.groupBy("userId", "movieId").agg(
         F.max(F.struct("o_orderdate", "l_orderkey", "l_linenumber", "l_suppkey",
                        "l_quantity", "l_extendedprice", "rating", "timestamp")).alias("m"))
-    return latest.select("userId", "movieId", F.col("m.rating").alias("rating"),
-                         F.col("m.timestamp").alias("timestamp"))
+    out = latest.select("userId", "movieId", F.col("m.rating").alias("rating"),
+                        F.col("m.timestamp").alias("timestamp"))
+    return out.persist(StorageLevel.MEMORY_AND_DISK) if persist else out
 
 
 def movies_view(spark: SparkSession, sf_dir: str) -> DataFrame:
