@@ -17,6 +17,7 @@ import json
 import time
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +97,11 @@ def bias_predict(pairs: DataFrame, mu: float, user_bias: DataFrame, item_bias: D
 # ---------------------------------------------------------------- ALS helpers
 
 
+def _default_blocks(spark: SparkSession) -> int:
+    """One ALS block per core of the cluster (at least 2)."""
+    return max(2, spark.sparkContext.defaultParallelism)
+
+
 def _check_int_ids(df: DataFrame) -> None:
     mx = df.agg(F.max("userId"), F.max("movieId"), F.min("userId"), F.min("movieId")).first()
     if max(mx[0] or 0, mx[1] or 0) > INT32_MAX or min(mx[2] or 0, mx[3] or 0) < 0:
@@ -133,9 +139,11 @@ def fit_explicit(train: DataFrame, rank: int = 50, max_iter: int = 10, reg: floa
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg, userCol="userId", itemCol="movieId",
               ratingCol="resid", implicitPrefs=False, seed=seed, coldStartStrategy="nan",
               nonnegative=False)
-    if blocks:
-        als = als.setNumUserBlocks(blocks).setNumItemBlocks(blocks)
+    blocks = blocks or _default_blocks(spark)
+    als = als.setNumUserBlocks(blocks).setNumItemBlocks(blocks)
+    resid = resid.persist(StorageLevel.MEMORY_AND_DISK)
     model = als.fit(resid)
+    resid.unpersist()
     uf, itf = _factors(model, bu, bi)
     params = dict(rank=rank, max_iter=max_iter, reg=reg, reg_user=reg_user, reg_item=reg_item,
                   sweeps=sweeps, seed=seed)
@@ -155,9 +163,11 @@ def fit_implicit(interactions: DataFrame, rank: int = 64, max_iter: int = 15, re
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg, alpha=alpha, userCol="userId",
               itemCol="movieId", ratingCol="rating", implicitPrefs=True, seed=seed,
               coldStartStrategy="nan")
-    if blocks:
-        als = als.setNumUserBlocks(blocks).setNumItemBlocks(blocks)
+    blocks = blocks or _default_blocks(spark)
+    als = als.setNumUserBlocks(blocks).setNumItemBlocks(blocks)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     model = als.fit(data)
+    data.unpersist()
     uf, itf = _factors(model, None, None)
     params = dict(rank=rank, max_iter=max_iter, reg=reg, alpha=alpha, seed=seed)
     return FactorModel(0.0, uf, itf, "implicit", params, {"training_time": time.time() - t0})
