@@ -314,3 +314,33 @@ def user_history(ratings: DataFrame, movies: DataFrame, users: DataFrame | None
     ordered per user by rating desc."""
     rated = ratings if users is None else ratings.join(users.select("userId"), "userId", "left_semi")
     return rated.join(movies, "movieId").select("userId", "movieId", "title", "genres", "rating")
+
+
+def processing_info(ratings: DataFrame, split_df: DataFrame) -> DataFrame:
+    """One row with total ratings, split sizes, users, movies, sparsity."""
+    sizes = split_df.agg(*[F.sum(F.when(F.col("split") == k, 1).otherwise(0)).cast("bigint").alias(f"{k}_size")
+                           for k in ("train", "val", "test")])
+    summary = ratings.agg(F.count(F.lit(1)).alias("total_ratings"),
+                          F.countDistinct("userId").alias("n_users"),
+                          F.countDistinct("movieId").alias("n_movies"))
+    row = sizes.first()
+    return summary.select("total_ratings", *[F.lit(row[f"{k}_size"]).cast("bigint").alias(f"{k}_size")
+                                             for k in ("train", "val", "test")],
+                          "n_users", "n_movies",
+                          _sparsity(F.col("total_ratings"), F.col("n_users"), F.col("n_movies")).alias("sparsity"))
+
+
+def write_processing_info(info: DataFrame, path: str) -> None:
+    """S7 writer: adds processed_date and writes one JSON record."""
+    info.withColumn("processed_date", F.current_timestamp().cast("timestamp_ntz")) \
+        .coalesce(1).write.mode("overwrite").json(path)
+
+
+def eval_users(test: DataFrame, n: int = 1000, by: str = "id") -> DataFrame:
+    """The users an evaluation samples - the first ``n`` by id, or the
+    first ``n`` by first appearance (min timestamp, then id).  The cut is the
+    operator itself (a TakeOrdered of n rows)."""
+    if by == "id":
+        return test.select("userId").distinct().orderBy("userId").limit(int(n))
+    first = test.groupBy("userId").agg(F.min("timestamp").alias("first_seen"))
+    return first.orderBy("first_seen", "userId").limit(int(n))

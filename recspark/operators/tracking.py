@@ -68,6 +68,35 @@ class ExperimentTracker:
             self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(
                 f"{self.root}/{table}")
 
+    # ---------------------------------------------------------- artifacts
+
+    def artifact_path(self, name: str) -> str:
+        return f"{self.root}/artifacts/run_id={self._require()['id']}/{name}"
+
+    def log_table(self, df: DataFrame, name: str, fmt: str = "parquet") -> str:
+        """Write a result table as an artifact of the active run."""
+        path = self.artifact_path(name)
+        writer = df.write.mode("overwrite")
+        (writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path))
+        return path
+
+    def log_dict(self, data: dict, name: str) -> str:
+        """Write a small dict (e.g. a results summary) as one JSON record."""
+        import json
+
+        path = self.artifact_path(name)
+        self.spark.createDataFrame([(json.dumps(data, default=str),)], "json string") \
+            .coalesce(1).write.mode("overwrite").text(path)
+        return path
+
+    def log_model(self, model, name: str = "model") -> str:
+        """Save a FactorModel's tables under the run."""
+        from recspark.operators.models import save_model
+
+        path = self.artifact_path(name)
+        save_model(model, path)
+        return path
+
     # ---------------------------------------------------------- bulk logging
 
     def log_results(self, results: DataFrame, name_col: str, param_cols: list[str],

@@ -99,3 +99,12 @@ def model_roundtrip(spark, sf):
     models.save_model(model, path)
     loaded = models.load_model(spark, path)
     return loaded.predict(split.filter(F.col("split") == "test").select("userId", "movieId", "rating"))
+
+
+@register("als_similar_items")
+def als_similar_items(spark, sf):
+    """Similar items by cosine of trained implicit-ALS item factors."""
+    split = _split(spark, sf)
+    train = prep.implicit_confidence(split.filter(F.col("split") == "train"))
+    model = models.fit_implicit(train, rank=8, max_iter=5, reg=0.01)
+    return model.similar(10)

@@ -326,3 +326,34 @@ FROM ratings r JOIN movies m ON r.movieId = m.movieId""", ["ratings", "movies"],
 def user_history(spark, sf):
     """Every user's rated movies with title and genres."""
     return prep.user_history(ratings_view(spark, sf), movies_view(spark, sf))
+
+
+@register("processing_info", """
+SELECT n AS total_ratings, n - nt - nv AS train_size, nv AS val_size, nt AS test_size, n_users, n_movies,
+       (1 - n::DOUBLE / (n_users::DOUBLE * n_movies::DOUBLE)) * 100 AS sparsity
+FROM (SELECT count(*) AS n, ceil(count(*) * 0.2e0)::BIGINT AS nt,
+             ceil((count(*) - ceil(count(*) * 0.2e0)) * (0.1e0 / (1.0e0 - 0.2e0)))::BIGINT AS nv,
+             count(DISTINCT userId) AS n_users, count(DISTINCT movieId) AS n_movies FROM ratings) k""",
+          R, round_cols=["sparsity"])
+def processing_info(spark, sf):
+    """Processing summary of the random 70/10/20 split."""
+    ratings = ratings_view(spark, sf, persist=True)
+    return prep.processing_info(ratings, prep.random_split(ratings, 0.2, 0.1, 42))
+
+
+@register("eval_users", """
+SELECT DISTINCT userId FROM temporal_split WHERE split = 'test' ORDER BY userId LIMIT 1000""",
+          ["temporal_split"])
+def eval_users(spark, sf):
+    """First 1000 test users by id (the evaluation's user sample)."""
+    test = prep.temporal_split(ratings_view(spark, sf)).filter(F.col("split") == "test")
+    return prep.eval_users(test, 1000, "id")
+
+
+@register("eval_users_appearance", """
+SELECT userId, min("timestamp") AS first_seen FROM temporal_split WHERE split = 'test'
+GROUP BY userId ORDER BY first_seen, userId LIMIT 100""", ["temporal_split"])
+def eval_users_appearance(spark, sf):
+    """First 100 test users by first appearance."""
+    test = prep.temporal_split(ratings_view(spark, sf)).filter(F.col("split") == "test")
+    return prep.eval_users(test, 100, "appearance")
