@@ -23,10 +23,13 @@ from recspark.session import checkpoint_dir
 
 
 def global_positions(df: DataFrame, order_cols: list, by: list | None = None,
-                     name: str = "pos", num_partitions: int | None = None) -> DataFrame:
+                     name: str = "pos", num_partitions: int | None = None,
+                     with_total: bool = False):
     """Add ``name`` = 0-based position of each row in ``order_cols`` order
     (within each ``by`` group when given).  ``order_cols`` must make the order
-    total, otherwise ties are numbered arbitrarily."""
+    total, otherwise ties are numbered arbitrarily.  With ``with_total`` the
+    result is ``(df, row_count)``; the count comes from the small offsets
+    table, not from another pass over the input."""
     spark = df.sparkSession
     checkpoint_dir(spark)
     by = list(by or [])
@@ -46,4 +49,8 @@ def global_positions(df: DataFrame, order_cols: list, by: list | None = None,
     # measured size is under the broadcast threshold, else it is shuffled.
     out = numbered.join(runs.select("_pid", *by, "_m0", "_off"), ["_pid", *by])
     out = out.withColumn(name, (F.col("_off") + F.col("_mono") - F.col("_m0")).cast("bigint"))
-    return out.drop("_pid", "_mono", "_m0", "_off")
+    out = out.drop("_pid", "_mono", "_m0", "_off")
+    if with_total:
+        total = runs.agg(F.sum("_cnt")).first()[0] or 0
+        return out, int(total)
+    return out

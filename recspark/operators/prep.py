@@ -196,10 +196,10 @@ def random_split(ratings: DataFrame, test_size: float = 0.2, val_size: float = 0
             .otherwise("train"))
     import math
 
-    n = ratings.count()
+    pos, n = global_positions(ratings.withColumn("_h", h), ["_h", "userId", "movieId"], name="_pos",
+                              with_total=True)
     n_test = int(math.ceil(n * test_size))
     n_val = int(math.ceil((n - n_test) * (val_size / (1.0 - test_size))))
-    pos = global_positions(ratings.withColumn("_h", h), ["_h", "userId", "movieId"], name="_pos")
     return pos.withColumn(
         "split", F.when(F.col("_pos") < n_test, "test")
         .when(F.col("_pos") < n_test + n_val, "val").otherwise("train")).drop("_h", "_pos")
@@ -212,10 +212,9 @@ def temporal_split(ratings: DataFrame, test_size: float = 0.2, val_size: float =
     Reference cut (default): test_idx = int(n*(1-test)), val_idx =
     int(test_idx*(1-val)), i.e. 72/8/20.  ``exact`` gives 70/10/20.
     """
-    n = ratings.count()
+    pos, n = global_positions(ratings, ["timestamp", "userId", "movieId"], name="_pos", with_total=True)
     test_idx = int(n * (1 - test_size))
     val_idx = int(n * (1 - test_size - val_size)) if exact else int(test_idx * (1 - val_size))
-    pos = global_positions(ratings, ["timestamp", "userId", "movieId"], name="_pos")
     return pos.withColumn(
         "split", F.when(F.col("_pos") < val_idx, "train")
         .when(F.col("_pos") < test_idx, "val").otherwise("test")).drop("_pos")

@@ -55,7 +55,7 @@ SELECT * FROM r1 WHERE movieId IN (SELECT movieId FROM r1 GROUP BY movieId HAVIN
 @register("clean_ratings", _CLEAN_SQL, R, round_cols=["rating"])
 def clean_ratings(spark, sf):
     """User pass then movie pass, min 20 each."""
-    return prep.activity_filter(ratings_view(spark, sf), 20, 20)
+    return prep.activity_filter(ratings_view(spark, sf, persist=True), 20, 20)
 
 
 @register("clean_movies",
@@ -63,7 +63,7 @@ def clean_ratings(spark, sf):
           ["ratings", "movies"])
 def clean_movies(spark, sf):
     """P5: catalogue restricted to movies left after cleaning."""
-    clean = prep.activity_filter(ratings_view(spark, sf), 20, 20)
+    clean = prep.activity_filter(ratings_view(spark, sf, persist=True), 20, 20)
     return prep.restrict_movies(movies_view(spark, sf), clean)
 
 
@@ -74,7 +74,7 @@ SELECT (SELECT count(*) FROM ratings) - count(*) AS removed,
 FROM (""" + _CLEAN_SQL + ") c", R, round_cols=["removed_pct"])
 def clean_report(spark, sf):
     """P6."""
-    ratings = ratings_view(spark, sf)
+    ratings = ratings_view(spark, sf, persist=True)
     return prep.clean_report(ratings, prep.activity_filter(ratings, 20, 20))
 
 
@@ -126,7 +126,7 @@ LEFT JOIN (""" + _MOVIE_STATS_SQL + """) m ON t.movieId = m.movieId""", R,
           bigint_cols=["year", "month", "day_of_week"])
 def ratings_enriched(spark, sf):
     """Ratings with temporal features and both stat tables."""
-    return prep.enrich_ratings(ratings_view(spark, sf))
+    return prep.enrich_ratings(ratings_view(spark, sf, persist=True))
 
 
 @register("genres_parse", """
@@ -296,7 +296,7 @@ GROUP BY bin, lo, hi"""
           round_cols=["bin_lo", "bin_hi"])
 def rating_histogram(spark, sf):
     """10-bin histogram of ratings."""
-    return prep.rating_histogram(ratings_view(spark, sf), 10)
+    return prep.rating_histogram(ratings_view(spark, sf, persist=True), 10)
 
 
 @register("user_activity_histogram",
@@ -304,7 +304,7 @@ def rating_histogram(spark, sf):
                     "ratings_per_user", 50), R, round_cols=["bin_lo", "bin_hi"])
 def user_activity_histogram(spark, sf):
     """50-bin histogram of ratings per user."""
-    return prep.user_activity_histogram(ratings_view(spark, sf), 50)
+    return prep.user_activity_histogram(ratings_view(spark, sf, persist=True), 50)
 
 
 @register("train_stats", """

@@ -114,7 +114,7 @@ d AS (SELECT model_id, batch, n, batch_end_ts, batch_mae, 1.1e0 AS baseline_mae,
 
 
 def _batches(spark, sf):
-    log = prediction_log_view(spark, sf)
+    log = prediction_log_view(spark, sf, ratings_view(spark, sf, persist=True))
     return monitor.degradation_batches(log, monitor.baselines(log, 1.1), 100, 0.1)
 
 
