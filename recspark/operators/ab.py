@@ -126,6 +126,17 @@ def model_winner(comparison: DataFrame, metric: str = "test_rmse") -> DataFrame:
                          "n_models")
 
 
+def session_table(events: DataFrame, session_gap: str = "30 minutes") -> DataFrame:
+    """Sessions of an events table (user_id, ts, event_id), split at
+    ``session_gap`` of inactivity; skew-safe (see ``operators.sessions``)."""
+    from recspark.operators.sessions import sessions
+
+    amount, unit = session_gap.split()
+    seconds = float(amount) * {"second": 1, "seconds": 1, "minute": 60, "minutes": 60,
+                               "hour": 3600, "hours": 3600}[unit]
+    return sessions(events, "user_id", "ts", "event_id", seconds)
+
+
 def user_engagement(events: DataFrame, session_gap: str = "30 minutes") -> DataFrame:
     """B8 per-user metrics from an events table: click-through rate (clicks /
     views), conversion rate (purchases / events) and mean session length in
@@ -135,11 +146,9 @@ def user_engagement(events: DataFrame, session_gap: str = "30 minutes") -> DataF
         F.sum(F.when(F.col("event_type") == "click", 1).otherwise(0)).alias("_clicks"),
         F.sum(F.when(F.col("event_type") == "view", 1).otherwise(0)).alias("_views"),
         F.sum(F.when(F.col("event_type") == "purchase", 1).otherwise(0)).alias("_purchases"))
-    sessions = (events.groupBy("user_id", F.session_window("ts", session_gap).alias("_s"))
-                .agg((F.unix_micros(F.max("ts").cast("timestamp"))
-                      - F.unix_micros(F.min("ts").cast("timestamp"))).alias("_len_us")))
-    sess = sessions.groupBy("user_id").agg((F.avg("_len_us") / 1e6).alias("session_length"),
-                                           F.count(F.lit(1)).alias("n_sessions"))
+    sess = (session_table(events, session_gap).groupBy("user_id")
+            .agg(F.avg("length_seconds").alias("session_length"),
+                 F.count(F.lit(1)).alias("n_sessions")))
     return per_user.join(sess, "user_id").select(
         F.col("user_id").alias("userId"), "n_events", "n_sessions",
         F.when(F.col("_views") > 0, F.col("_clicks") / F.col("_views")).alias("click_through_rate"),

@@ -213,3 +213,16 @@ def experiment_ttest(spark, sf):
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in _METRICS
     ])).alias("m")).select("m.metric", "experiment_group", "m.value")
     return ab.ab_ttest(long, by=["metric"])
+
+
+@register("user_sessions", """
+WITH e AS (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
+f AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS session_index FROM e)
+SELECT user_id, session_index, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_events,
+       (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS length_seconds
+FROM f GROUP BY user_id, session_index""", [], round_cols=["length_seconds"],
+          bigint_cols=["session_index", "n_events"])
+def user_sessions(spark, sf):
+    """Event sessions per user (30-minute inactivity gap), skew-safe."""
+    return ab.session_table(load_table(spark, sf, "events"), "30 minutes")

@@ -112,3 +112,29 @@ def test_no_seen_item_and_gapless_ranks(spark):
     assert recs.join(r, ["userId", "movieId"]).count() == 0
     per = recs.groupBy("userId").agg(F.max("rank").alias("mx"), F.count(F.lit(1)).alias("c"))
     assert per.filter(F.col("mx") != F.col("c")).count() == 0
+
+
+def test_sessions_skewed_user_brute_force(spark):
+    import datetime as dt
+
+    from recspark.operators.sessions import sessions
+
+    rng = np.random.default_rng(3)
+    rows, eid = [], 0
+    for user, n in ((1, 1500), (2, 40), (3, 1)):  # user 1 owns most events
+        t = dt.datetime(2024, 1, 1)
+        for _ in range(n):
+            t = t + dt.timedelta(seconds=int(rng.choice([5, 60, 1799, 1800, 4000])))
+            rows.append((eid, t, user))
+            eid += 1
+    ev = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long")
+    got = sessions(ev, gap_seconds=1800).toPandas().sort_values(["user_id", "session_index"])
+    import pandas as pd
+
+    pdf = pd.DataFrame(rows, columns=["event_id", "ts", "user_id"]).sort_values(["user_id", "ts", "event_id"])
+    gap = pdf.groupby("user_id")["ts"].diff()
+    pdf["sid"] = (gap.isna() | (gap >= pd.Timedelta(seconds=1800))).astype(int).groupby(pdf.user_id).cumsum() - 1
+    exp = pdf.groupby(["user_id", "sid"]).agg(n=("ts", "size"), a=("ts", "min"), b=("ts", "max")).reset_index()
+    assert len(got) == len(exp)
+    assert list(got.n_events) == list(exp.n)
+    assert np.allclose(got.length_seconds, (exp.b - exp.a).dt.total_seconds())
