@@ -8,8 +8,6 @@ tail and quantile run in Python, on one row per test.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,4 +168,5 @@ def z_constants(power: float = 0.8, alpha: float = 0.05) -> tuple[float, float]:
 
 
 __all__ = ["assign_groups", "weighted_assignment", "ab_moments", "ab_ttest", "paired_ttest",
-           "power_plan", "model_winner", "user_engagement", "readiness", "z_constants", "math"]
+           "power_plan", "model_winner", "user_engagement", "session_table", "readiness",
+           "z_constants"]

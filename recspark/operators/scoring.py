@@ -81,7 +81,7 @@ def popular_items(interactions: DataFrame, n: int = 10, items: DataFrame | None
     return top.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
-def _attach_list(users: DataFrame, small: DataFrame, cols: list[str]) -> DataFrame:
+def attach_list(users: DataFrame, small: DataFrame, cols: list[str]) -> DataFrame:
     """Give every user the rows of ``small`` (a top-n list, size bounded by n)
     by explode of a literal array - no cross join, no broadcast of data that
     grows with the tables."""
@@ -104,7 +104,7 @@ def recommend_implicit(users: DataFrame, user_factors: DataFrame, item_factors:
                     right_id="movieId", exclude=seen, score_name="score")
     cf = cf.withColumn("strategy", F.lit("collaborative_filtering"))
     unknown = req.join(user_factors.select("userId"), "userId", "left_anti")
-    fb = _attach_list(unknown, popular.filter(F.col("rank") <= n), ["movieId", "score", "rank"])
+    fb = attach_list(unknown, popular.filter(F.col("rank") <= n), ["movieId", "score", "rank"])
     fb = fb.withColumn("strategy", F.lit("popular_fallback"))
     return cf.unionByName(fb.select("userId", "movieId", F.col("score").cast("double"),
                                     F.col("rank").cast("bigint"), "strategy"))

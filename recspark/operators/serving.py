@@ -31,7 +31,7 @@ def serve_batch(requests: DataFrame, user_factors: DataFrame, item_factors: Data
     cf = cf.select("userId", "movieId", F.col("predicted_rating").alias("score"), "rank",
                    F.lit("collaborative_filtering").alias("strategy"))
     unknown = users.join(user_factors.select("userId"), "userId", "left_anti")
-    fb = scoring._attach_list(unknown, popular.filter(F.col("rank") <= n), ["movieId", "score", "rank"])
+    fb = scoring.attach_list(unknown, popular.filter(F.col("rank") <= n), ["movieId", "score", "rank"])
     fb = fb.select("userId", "movieId", F.col("score").cast("double"), F.col("rank").cast("bigint"),
                    F.lit("popular_fallback").alias("strategy"))
     out = cf.unionByName(fb)
@@ -93,7 +93,7 @@ def latency_ema(classified: DataFrame, alpha: float = EMA_ALPHA,
     higher-order function on one row of at most ``window`` elements.
     """
     upd = classified.filter(F.col("latency_update"))
-    n_updates = upd.agg(F.count(F.lit(1)).alias("n_updates"))
+    n_updates = upd.count()  # scalar
     tail = (upd.select("ts", "event_id", F.col("latency_ms").cast("double").alias("lat"))
             .orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(int(window)))
     folded = tail.agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "lat"))).alias("_xs"))
@@ -101,14 +101,8 @@ def latency_ema(classified: DataFrame, alpha: float = EMA_ALPHA,
         "_xs", F.lit(0.0),
         lambda acc, x: F.when(acc == 0, x["lat"]).otherwise(
             F.lit(alpha) * x["lat"] + F.lit(1 - alpha) * acc))
-    return _ema_row(folded, ema, n_updates)
-
-
-def _ema_row(folded: DataFrame, ema, n_updates: DataFrame) -> DataFrame:
-    # both sides are single-row aggregates; attach the count as a scalar
-    n = n_updates.first()[0]
     return folded.select(F.coalesce(ema, F.lit(0.0)).alias("avg_latency_ms"),
-                         F.lit(int(n)).cast("bigint").alias("n_updates"))
+                         F.lit(int(n_updates)).cast("bigint").alias("n_updates"))
 
 
 def health_status(metrics: DataFrame, ema: DataFrame, model_loaded: bool = True,
