@@ -90,11 +90,10 @@ def _degradation_fn(baseline: dict | float | None, batch_size: int, threshold: f
                 n, acc, batch = 0, 0.0, batch + 1
         last = ts[-1] if len(ts) else (state.get[3] if state.exists else None)
         state.update((n, acc, batch, pd.Timestamp(last).to_pydatetime() if last is not None else None))
-        cols = [f.name for f in BATCH_OUT.fields]
-        out = pd.DataFrame(rows, columns=cols)
-        if not out.empty:
+        if rows:
+            out = pd.DataFrame(rows, columns=[f.name for f in BATCH_OUT.fields])
             out["batch_end_ts"] = pd.to_datetime(out["batch_end_ts"])
-        yield out
+            yield out
 
     return fn
 
