@@ -102,15 +102,38 @@ def _default_blocks(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 
 
-def _check_int_ids(df: DataFrame) -> None:
+def _int_id_maps(df: DataFrame):
+    """ALS takes int32 ids.  Returns (None, None) when the ids fit; otherwise
+    dense 0-based maps (exact distributed positions, M1) for users and items."""
     mx = df.agg(F.max("userId"), F.max("movieId"), F.min("userId"), F.min("movieId")).first()
-    if max(mx[0] or 0, mx[1] or 0) > INT32_MAX or min(mx[2] or 0, mx[3] or 0) < 0:
-        raise ValueError("ids outside int32: map them with prep.dense_index first")
+    if max(mx[0] or 0, mx[1] or 0) <= INT32_MAX and min(mx[2] or 0, mx[3] or 0) >= 0:
+        return None, None
+    return (prep.dense_index(df, "userId", "_uidx"), prep.dense_index(df, "movieId", "_iidx"))
 
 
-def _factors(model, bias_users: DataFrame | None, bias_items: DataFrame | None):
+def _to_als_ids(df: DataFrame, umap, imap) -> DataFrame:
+    if umap is None:
+        return (df.withColumn("userId", F.col("userId").cast("int"))
+                .withColumn("movieId", F.col("movieId").cast("int")))
+    return (df.join(umap, "userId").join(imap, "movieId")
+            .drop("userId", "movieId")
+            .withColumnRenamed("_uidx", "userId").withColumnRenamed("_iidx", "movieId")
+            .withColumn("userId", F.col("userId").cast("int"))
+            .withColumn("movieId", F.col("movieId").cast("int")))
+
+
+def _original_ids(factors: DataFrame, id_map, id_col: str, idx_col: str) -> DataFrame:
+    if id_map is None:
+        return factors
+    return (factors.withColumnRenamed(id_col, idx_col).join(id_map, idx_col).drop(idx_col)
+            .select(id_col, *[c for c in factors.columns if c != id_col]))
+
+
+def _factors(model, umap, imap, bias_users: DataFrame | None, bias_items: DataFrame | None):
     uf = model.userFactors.select(F.col("id").cast("bigint").alias("userId"), "features")
     itf = model.itemFactors.select(F.col("id").cast("bigint").alias("movieId"), "features")
+    uf = _original_ids(uf, umap, "userId", "_uidx")
+    itf = _original_ids(itf, imap, "movieId", "_iidx")
     if bias_users is not None:
         uf = bias_users.join(uf, "userId", "full").select(
             "userId", F.coalesce("bias", F.lit(0.0)).alias("bias"), "features")
@@ -128,14 +151,15 @@ def fit_explicit(train: DataFrame, rank: int = 50, max_iter: int = 10, reg: floa
     """M4: biased matrix factorisation (biases by sweeps, then ALS on residuals)."""
     spark = train.sparkSession
     checkpoint_dir(spark)  # ALS checkpoints its factor RDDs there
-    _check_int_ids(train)
+    umap, imap = _int_id_maps(train)
     t0 = time.time()
     mu, bu, bi = fit_biases(train, reg_user, reg_item, sweeps)
     resid = (train.join(bu.withColumnRenamed("bias", "_bu"), "userId", "left")
              .join(bi.withColumnRenamed("bias", "_bi"), "movieId", "left")
-             .select(F.col("userId").cast("int").alias("userId"), F.col("movieId").cast("int").alias("movieId"),
+             .select("userId", "movieId",
                      (F.col("rating") - F.lit(mu) - F.coalesce("_bu", F.lit(0.0))
                       - F.coalesce("_bi", F.lit(0.0))).alias("resid")))
+    resid = _to_als_ids(resid, umap, imap)
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg, userCol="userId", itemCol="movieId",
               ratingCol="resid", implicitPrefs=False, seed=seed, coldStartStrategy="nan",
               nonnegative=False)
@@ -144,7 +168,7 @@ def fit_explicit(train: DataFrame, rank: int = 50, max_iter: int = 10, reg: floa
     resid = resid.persist(StorageLevel.MEMORY_AND_DISK)
     model = als.fit(resid)
     resid.unpersist()
-    uf, itf = _factors(model, bu, bi)
+    uf, itf = _factors(model, umap, imap, bu, bi)
     params = dict(rank=rank, max_iter=max_iter, reg=reg, reg_user=reg_user, reg_item=reg_item,
                   sweeps=sweeps, seed=seed)
     return FactorModel(mu, uf, itf, "explicit", params, {"training_time": time.time() - t0})
@@ -156,10 +180,9 @@ def fit_implicit(interactions: DataFrame, rank: int = 64, max_iter: int = 15, re
     spark = interactions.sparkSession
     checkpoint_dir(spark)
     merged = prep.merge_duplicates(interactions.select("userId", "movieId", "rating"))
-    _check_int_ids(merged)
+    umap, imap = _int_id_maps(merged)
     t0 = time.time()
-    data = merged.select(F.col("userId").cast("int").alias("userId"),
-                         F.col("movieId").cast("int").alias("movieId"), "rating")
+    data = _to_als_ids(merged, umap, imap)
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg, alpha=alpha, userCol="userId",
               itemCol="movieId", ratingCol="rating", implicitPrefs=True, seed=seed,
               coldStartStrategy="nan")
@@ -168,7 +191,7 @@ def fit_implicit(interactions: DataFrame, rank: int = 64, max_iter: int = 15, re
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     model = als.fit(data)
     data.unpersist()
-    uf, itf = _factors(model, None, None)
+    uf, itf = _factors(model, umap, imap, None, None)
     params = dict(rank=rank, max_iter=max_iter, reg=reg, alpha=alpha, seed=seed)
     return FactorModel(0.0, uf, itf, "implicit", params, {"training_time": time.time() - t0})
 

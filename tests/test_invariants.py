@@ -138,3 +138,15 @@ def test_sessions_skewed_user_brute_force(spark):
     assert len(got) == len(exp)
     assert list(got.n_events) == list(exp.n)
     assert np.allclose(got.length_seconds, (exp.b - exp.a).dt.total_seconds())
+
+
+def test_als_with_ids_beyond_int32(spark):
+    big = 10 ** 12
+    rows = [(big + u, big * 3 + i, float((u * 7 + i * 3) % 5 + 1), 0) for u in range(30) for i in range(12)]
+    df = spark.createDataFrame(rows, "userId long, movieId long, rating double, timestamp long")
+    m = models.fit_explicit(df, rank=3, max_iter=3, reg=0.1)
+    ids = {r.userId for r in m.user_factors.collect()}
+    assert ids == {big + u for u in range(30)}
+    assert m.predict(df.limit(5)).filter(F.col("known_user") & F.col("known_item")).count() == 5
+    imp = models.fit_implicit(df, rank=3, max_iter=3)
+    assert {r.movieId for r in imp.item_factors.collect()} == {big * 3 + i for i in range(12)}
