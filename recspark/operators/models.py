@@ -63,25 +63,33 @@ class FactorModel:
 def fit_biases(train: DataFrame, reg_user: float = 15.0, reg_item: float = 10.0,
                sweeps: int = 3, mu: float | None = None, checkpoint_every: int = 3):
     """μ and damped biases: b_i = Σ(r-μ-b_u)/(λ_i+n_i), b_u = Σ(r-μ-b_i)/(λ_u+n_u),
-    starting from b_u = 0.  Returns (mu, user_bias(userId, bias), item_bias(movieId, bias))."""
+    starting from b_u = 0.  Returns (mu, user_bias(userId, bias), item_bias(movieId, bias)).
+
+    The bias tables are checkpointed to the shared folder every
+    ``checkpoint_every`` sweeps and after the last one, each as soon as it is
+    built: the returned tables are materialised once, so a model's factor
+    tables never re-run the sweeps over the training data."""
     r = train.select("userId", "movieId", F.col("rating").cast("double").alias("rating"))
     if mu is None:
         mu = float(r.agg(F.avg("rating")).first()[0])
     m = F.lit(float(mu))
+    n_sweeps = max(1, int(sweeps))
+    if checkpoint_every:
+        checkpoint_dir(train.sparkSession)
     bu = None
     bi = None
-    for s in range(max(1, int(sweeps))):
+    for s in range(n_sweeps):
+        cut = bool(checkpoint_every) and ((s + 1) % checkpoint_every == 0 or s + 1 == n_sweeps)
         base = r if bu is None else r.join(bu.withColumnRenamed("bias", "_bu"), "userId", "left")
         res = F.col("rating") - m - (F.coalesce(F.col("_bu"), F.lit(0.0)) if bu is not None else F.lit(0.0))
         bi = base.groupBy("movieId").agg(
             (F.sum(res) / (F.lit(float(reg_item)) + F.count(F.lit(1)))).alias("bias"))
+        bi = bi.checkpoint() if cut else bi
         res_u = F.col("rating") - m - F.coalesce(F.col("_bi"), F.lit(0.0))
         bu = (r.join(bi.withColumnRenamed("bias", "_bi"), "movieId", "left")
               .groupBy("userId").agg((F.sum(res_u) / (F.lit(float(reg_user)) + F.count(F.lit(1))))
                                      .alias("bias")))
-        if checkpoint_every and (s + 1) % checkpoint_every == 0 and s + 1 < sweeps:
-            checkpoint_dir(train.sparkSession)
-            bi, bu = bi.checkpoint(), bu.checkpoint()
+        bu = bu.checkpoint() if cut else bu
     return mu, bu, bi
 
 
