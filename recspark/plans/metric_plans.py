@@ -42,13 +42,16 @@ metric_rows AS (
 """
 
 
-def _inputs(spark, sf):
+def _inputs(spark, sf, with_recs: bool = True, with_test: bool = True):
+    """Shared inputs; the top-20 lists and the temporal split (each runs
+    sizing / checkpoint jobs when built) only for the queries that read them."""
     ratings = ratings_view(spark, sf, persist=True)
     uf = user_factors_view(spark, sf, ratings)
     itf = item_factors_view(spark, sf)
     mu = global_mean(ratings)
-    recs = scoring.recommend_explicit(ratings, uf, itf, mu, 20)
-    test = prep.temporal_split(ratings).filter(F.col("split") == "test").drop("split")
+    recs = scoring.recommend_explicit(ratings, uf, itf, mu, 20) if with_recs else None
+    test = (prep.temporal_split(ratings).filter(F.col("split") == "test").drop("split")
+            if with_test else None)
     return ratings, uf, itf, mu, recs, test
 
 
@@ -123,7 +126,7 @@ SELECT count(DISTINCT movieId) AS n_recommended, (SELECT count(*) FROM movies) A
 FROM recs WHERE rank <= 10""", V, round_cols=["coverage"])
 def catalog_coverage(spark, sf):
     """E5 (U2): distinct items in the top-10 lists over the catalogue size."""
-    *_, recs, _ = _inputs(spark, sf)
+    *_, recs, _ = _inputs(spark, sf, with_test=False)
     movies = movies_view(spark, sf)
     return metrics.catalog_coverage(recs.filter(F.col("rank") <= 10), movies.count())
 
@@ -144,7 +147,7 @@ _JACCARD = ("CASE WHEN len(list_distinct(list_concat(a.g, b.g))) > 0 THEN 1.0 -
             FROM recs r LEFT JOIN movies m ON r.movieId = m.movieId WHERE r.rank <= 10)""" + _PAIRS.format(dist=_JACCARD), V, round_cols=["diversity"])
 def diversity_features(spark, sf):
     """Jaccard diversity of genre sets in each top-10 list."""
-    *_, recs, _ = _inputs(spark, sf)
+    *_, recs, _ = _inputs(spark, sf, with_test=False)
     return metrics.diversity_features(recs, movies_view(spark, sf), 10)
 
 
@@ -155,7 +158,7 @@ def diversity_features(spark, sf):
          "* sqrt(list_dot_product(b.features, b.features)))"), V, round_cols=["diversity"])
 def diversity_similarity(spark, sf):
     """Mean 1 - cosine similarity of item factors in each top-10 list."""
-    _, _, itf, _, recs, _ = _inputs(spark, sf)
+    _, _, itf, _, recs, _ = _inputs(spark, sf, with_test=False)
     return metrics.diversity_similarity(recs, itf, 10)
 
 
@@ -167,7 +170,7 @@ FROM recs r LEFT JOIN pop p ON r.movieId = p.movieId WHERE r.rank <= 10 GROUP BY
           round_cols=["novelty"])
 def novelty(spark, sf):
     """Self-information of recommended items by rating counts."""
-    ratings, *_, recs, _ = _inputs(spark, sf)
+    ratings, *_, recs, _ = _inputs(spark, sf, with_test=False)
     return metrics.novelty(recs.filter(F.col("rank") <= 10), ratings)
 
 
@@ -184,7 +187,7 @@ _ACC = ("SELECT sqrt(avg((predicted_rating - rating) * (predicted_rating - ratin
 @register("accuracy", _BASE + _SCORED_TEST + _ACC, V, round_cols=["rmse", "mae"])
 def accuracy(spark, sf):
     """Rmse and mae of the explicit model on the temporal test split."""
-    ratings, uf, itf, mu, _, test = _inputs(spark, sf)
+    ratings, uf, itf, mu, _, test = _inputs(spark, sf, with_recs=False)
     return metrics.accuracy(scoring.predict_explicit(test, uf, itf, mu))
 
 

@@ -42,7 +42,10 @@ def _brute(left, right, n, mu, exclude, lo, hi):
     return out
 
 
-def test_block_topk_matches_brute_force(spark):
+@pytest.mark.parametrize("broadcast_bytes", [0, None])
+def test_block_topk_matches_brute_force(spark, broadcast_bytes):
+    """0 forces the cogroup of blocks, None broadcasts the (small) right side;
+    right_block_rows=9 also splits the broadcast matrix into column chunks."""
     rng = np.random.default_rng(7)
     left = [(i, float(rng.normal()) * 0.1, [float(x) for x in rng.normal(size=4).astype(np.float32)])
             for i in range(60)]
@@ -55,7 +58,8 @@ def test_block_topk_matches_brute_force(spark):
     E = spark.createDataFrame(sorted(exclude), "uid long, iid long")
     got = block_topk(L, R, 5, left_id="uid", right_id="iid", left_vec="f", right_vec="f",
                      left_bias="b", right_bias="b", offset=2.5, lo=0.5, hi=5.0, exclude=E,
-                     left_block_rows=7, right_block_rows=9, chunk_rows=3).toPandas()
+                     left_block_rows=7, right_block_rows=9, chunk_rows=3,
+                     broadcast_bytes=broadcast_bytes).toPandas()
     exp = _brute([(a, b, np.float32(c)) for a, b, c in left], [(a, b, np.float32(c)) for a, b, c in right],
                  5, 2.5, exclude, 0.5, 5.0)
     for uid, items in exp.items():
@@ -64,6 +68,28 @@ def test_block_topk_matches_brute_force(spark):
         assert list(g["rank"]) == list(range(1, len(items) + 1))
 
 
+@pytest.mark.parametrize("broadcast_bytes", [0, None])
+def test_block_topk_cosine_matches_brute_force(spark, broadcast_bytes):
+    rng = np.random.default_rng(11)
+    vecs = {100 + j: rng.normal(size=5) for j in range(40)}
+    vecs[170] = vecs[100] * 3.0  # same direction: cosine tie with 100
+    vecs[171] = np.zeros(5)  # zero vector: no similarity
+    rows = [(k, [float(x) for x in v]) for k, v in vecs.items()]
+    items = spark.createDataFrame(rows, "iid long, f array<double>")
+    got = block_topk(items, items.withColumnRenamed("iid", "jid"), 4, left_id="iid", right_id="jid",
+                     left_vec="f", right_vec="f", cosine=True, exclude_self=True,
+                     left_block_rows=6, right_block_rows=7, chunk_rows=4,
+                     broadcast_bytes=broadcast_bytes).toPandas()
+    for a, va in vecs.items():
+        if not np.linalg.norm(va):
+            assert got[got.iid == a].empty
+            continue
+        sims = sorted((-round(float(va @ vb / (np.linalg.norm(va) * np.linalg.norm(vb))), 6), b)
+                      for b, vb in vecs.items() if b != a and np.linalg.norm(vb))
+        g = got[got.iid == a].sort_values("rank")
+        assert list(g.jid) == [b for _, b in sims[:4]], a
+
+
 def test_splits_partition_and_stable(spark):
     r = ratings_view(spark, SF)
     a = prep.temporal_split(r).select("userId", "movieId", "split")
