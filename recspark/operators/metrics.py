@@ -152,8 +152,9 @@ def diversity_similarity(recs: DataFrame, item_factors: DataFrame, k: int | None
     r = recs if k is None else recs.filter(F.col("rank") <= k)
     j = r.join(item_factors.select("movieId", "features"), "movieId")
     lists = j.groupBy("userId").agg(F.collect_list(F.struct("rank", "features")).alias("_l"))
-    arr = F.transform(F.array_sort("_l"), lambda s: s["features"])
-    return lists.select("userId", _pairwise_mean(arr, lambda a, b: 1.0 - cosine(a, b)).alias("diversity"))
+    # the sorted list is projected once; the pair loop then reads a column
+    lists = lists.select("userId", F.transform(F.array_sort("_l"), lambda s: s["features"]).alias("_a"))
+    return lists.select("userId", _pairwise_mean(F.col("_a"), lambda a, b: 1.0 - cosine(a, b)).alias("diversity"))
 
 
 def diversity_features(recs: DataFrame, movies: DataFrame, k: int | None = None) -> DataFrame:
@@ -165,13 +166,13 @@ def diversity_features(recs: DataFrame, movies: DataFrame, k: int | None = None)
     j = r.join(feats, "movieId", "left").withColumn(
         "_g", F.coalesce("_g", F.array().cast("array<string>")))
     lists = j.groupBy("userId").agg(F.collect_list(F.struct("rank", "_g")).alias("_l"))
-    arr = F.transform(F.array_sort("_l"), lambda s: s["_g"])
+    lists = lists.select("userId", F.transform(F.array_sort("_l"), lambda s: s["_g"]).alias("_a"))
 
     def jdist(a, b):
         union = F.size(F.array_union(a, b))
         return F.when(union > 0, 1.0 - F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
-    return lists.select("userId", _pairwise_mean(arr, jdist).alias("diversity"))
+    return lists.select("userId", _pairwise_mean(F.col("_a"), jdist).alias("diversity"))
 
 
 def novelty(recs: DataFrame, interactions: DataFrame) -> DataFrame:
