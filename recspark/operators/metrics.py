@@ -83,15 +83,13 @@ def ranking_metrics(recs: DataFrame, relevant: DataFrame, ks=(5, 10, 20),
         h = F.coalesce(F.col(f"_h{k}"), F.lit(0))
         d = F.coalesce(F.col(f"_d{k}"), F.lit(0.0))
         idcg = F.col(f"_id{k}") if gain else _binary_idcg(F.lit(k), F.col("n_relevant"))
-        rows.append(base.select(
-            "userId", F.lit(k).cast("bigint").alias("k"),
+        rows.append(F.struct(
+            F.lit(k).cast("bigint").alias("k"),
             (h / F.lit(float(k))).alias("precision"),
             (h / F.col("n_relevant")).alias("recall"),
             F.when(F.coalesce(idcg, F.lit(0.0)) == 0, F.lit(0.0)).otherwise(d / idcg).alias("ndcg")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    # one row per (user, k) from a single pass over the per-user table
+    return base.select("userId", F.explode(F.array(*rows)).alias("_m")).select("userId", "_m.*")
 
 
 def mean_ranking_metrics(per_user: DataFrame) -> DataFrame:
