@@ -218,10 +218,19 @@ def metric_panel(scored_test: DataFrame, recs: DataFrame, test: DataFrame, movie
     rank = mean_ranking_metrics(ranking_metrics(recs, test, [k])).select("precision", "recall", "ndcg")
     cov = catalog_coverage(recs.filter(F.col("rank") <= k), n_items).select("coverage")
     div = diversity_features(recs, movies, k).agg(F.avg("diversity").alias("diversity"))
-    parts = {"rmse": acc, "mae": acc, "precision": rank, "recall": rank, "ndcg": rank,
-             "coverage": cov, "diversity": div}
+    # each one-row part is computed once; its requested metrics become rows
+    parts = [(acc, ("rmse", "mae")), (rank, ("precision", "recall", "ndcg")),
+             (cov, ("coverage",)), (div, ("diversity",))]
+    unknown = set(metrics) - {m for _, names in parts for m in names}
+    if unknown:
+        raise ValueError(f"unknown metrics: {sorted(unknown)}")
     out = None
-    for name in metrics:
-        piece = parts[name].select(F.lit(name).alias("metric"), F.col(name).cast("double").alias("value"))
+    for df, names in parts:
+        want = [m for m in names if m in metrics]
+        if not want:
+            continue
+        piece = df.select(F.explode(F.array(*[
+            F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in want]))
+            .alias("_m")).select("_m.metric", "_m.value")
         out = piece if out is None else out.unionByName(piece)
     return out
