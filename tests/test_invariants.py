@@ -56,6 +56,7 @@ def test_block_topk_matches_brute_force(spark, broadcast_bytes):
     L = spark.createDataFrame(left, "uid long, b double, f array<float>")
     R = spark.createDataFrame(right, "iid long, b double, f array<float>")
     E = spark.createDataFrame(sorted(exclude), "uid long, iid long")
+    E = E.unionByName(E)  # duplicated pairs mask the same items once
     got = block_topk(L, R, 5, left_id="uid", right_id="iid", left_vec="f", right_vec="f",
                      left_bias="b", right_bias="b", offset=2.5, lo=0.5, hi=5.0, exclude=E,
                      left_block_rows=7, right_block_rows=9, chunk_rows=3,
