@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recspark.functions.vectors import cosine
+from recspark.functions.vectors import cosine, dot, norm
 
 
 # ---------------------------------------------------------------- accuracy
@@ -146,13 +146,27 @@ def _pairwise_mean(arr: Column, dist) -> Column:
 
 def diversity_similarity(recs: DataFrame, item_factors: DataFrame, k: int | None = None) -> DataFrame:
     """Mean over pairs of 1 - cosine(item factors).  Items without factors
-    are dropped from the list.  Result: userId, diversity."""
+    are dropped from the list.  Result: userId, diversity.
+
+    With unit vectors u_i the pair sum is closed-form,
+    Σ_{i<j} u_i·u_j = (|Σ u_i|² - Σ |u_i|²) / 2, so a list costs O(k·d)
+    instead of a loop over its k(k-1)/2 pairs."""
     r = recs if k is None else recs.filter(F.col("rank") <= k)
-    j = r.join(item_factors.select("movieId", "features"), "movieId")
-    lists = j.groupBy("userId").agg(F.collect_list(F.struct("rank", "features")).alias("_l"))
-    # the sorted list is projected once; the pair loop then reads a column
-    lists = lists.select("userId", F.transform(F.array_sort("_l"), lambda s: s["features"]).alias("_a"))
-    return lists.select("userId", _pairwise_mean(F.col("_a"), lambda a, b: 1.0 - cosine(a, b)).alias("diversity"))
+    # the norm is an argument of array_repeat (evaluated once per item), not
+    # a reference inside the lambda, which the optimizer would inline per element
+    f = F.col("features")
+    unit = item_factors.select("movieId", F.zip_with(f, F.array_repeat(norm(f), F.size(f)),
+                                                     lambda x, nv: x.cast("double") / nv).alias("_u"))
+    lists = r.join(unit, "movieId").groupBy("userId").agg(
+        F.collect_list("_u").alias("_l"), F.count(F.lit(1)).alias("_k"))
+    width = F.size(F.col("_l")[0])
+    total = F.aggregate("_l", F.array_repeat(F.lit(0.0), width),
+                        lambda acc, u: F.zip_with(acc, u, lambda a, b: a + b))
+    sq = F.aggregate(total, F.lit(0.0), lambda acc, x: acc + x * x)
+    self_sq = F.aggregate("_l", F.lit(0.0), lambda acc, u: acc + dot(u, u))
+    n = F.col("_k")
+    mean_cos = (sq - self_sq) / (n * (n - 1))
+    return lists.select("userId", F.when(n <= 1, F.lit(1.0)).otherwise(1.0 - mean_cos).alias("diversity"))
 
 
 def diversity_features(recs: DataFrame, movies: DataFrame, k: int | None = None) -> DataFrame:

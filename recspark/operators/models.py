@@ -187,7 +187,9 @@ def fit_implicit(interactions: DataFrame, rank: int = 64, max_iter: int = 15, re
     """M6: implicit-feedback ALS on duplicate-merged interactions."""
     spark = interactions.sparkSession
     checkpoint_dir(spark)
-    merged = prep.merge_duplicates(interactions.select("userId", "movieId", "rating"))
+    # the merge is read by the id check and by ALS: kept once (memory, then disk)
+    merged = prep.merge_duplicates(interactions.select("userId", "movieId", "rating")).persist(
+        StorageLevel.MEMORY_AND_DISK)
     umap, imap = _int_id_maps(merged)
     t0 = time.time()
     data = _to_als_ids(merged, umap, imap)
@@ -196,9 +198,8 @@ def fit_implicit(interactions: DataFrame, rank: int = 64, max_iter: int = 15, re
               coldStartStrategy="nan")
     blocks = blocks or _default_blocks(spark)
     als = als.setNumUserBlocks(blocks).setNumItemBlocks(blocks)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     model = als.fit(data)
-    data.unpersist()
+    merged.unpersist()
     uf, itf = _factors(model, umap, imap, None, None)
     params = dict(rank=rank, max_iter=max_iter, reg=reg, alpha=alpha, seed=seed)
     return FactorModel(0.0, uf, itf, "implicit", params, {"training_time": time.time() - t0})
