@@ -68,14 +68,16 @@ def ab_ttest(values: DataFrame, group_col: str = "experiment_group", value_col:
         F.var_pop(c()).alias("_vp_c"), F.var_pop(t()).alias("_vp_t"))
     n_c, n_t = F.col("sample_size_control"), F.col("sample_size_treatment")
     df = (n_c + n_t - 2).cast("double")
-    sp2 = ((n_c - 1) * F.col("_vs_c") + (n_t - 1) * F.col("_vs_t")) / df
-    se_pooled = F.sqrt(sp2 * (F.lit(1.0) / n_c + F.lit(1.0) / n_t))
+    # zero divisors (one-row groups, zero variance, zero control mean) give
+    # NULL statistics instead of failing the query under ANSI arithmetic
+    sp2 = F.try_divide((n_c - 1) * F.col("_vs_c") + (n_t - 1) * F.col("_vs_t"), df)
+    se_pooled = F.sqrt(sp2 * (F.try_divide(F.lit(1.0), n_c) + F.try_divide(F.lit(1.0), n_t)))
     diff = F.col("treatment_mean") - F.col("control_mean")
     out = m.select(
         *by, "control_mean", "treatment_mean", diff.alias("absolute_difference"),
-        (diff / F.col("control_mean") * 100.0).alias("relative_lift_pct"),
-        (diff / se_pooled).alias("t_statistic"), df.alias("df"),
-        F.sqrt(F.col("_vp_c") / n_c + F.col("_vp_t") / n_t).alias("_se_ci"),
+        (F.try_divide(diff, F.col("control_mean")) * 100.0).alias("relative_lift_pct"),
+        F.try_divide(diff, se_pooled).alias("t_statistic"), df.alias("df"),
+        F.sqrt(F.try_divide(F.col("_vp_c"), n_c) + F.try_divide(F.col("_vp_t"), n_t)).alias("_se_ci"),
         se_pooled.alias("_se_diff"), "sample_size_control", "sample_size_treatment")
     out = out.withColumn("p_value", t_pvalue_udf(F.col("t_statistic"), F.col("df")))
     out = out.withColumn("_crit", t_quantile_udf(F.lit((1 + confidence_level) / 2), F.col("df")))
@@ -96,7 +98,7 @@ def paired_ttest(pairs: DataFrame, control_col: str, treatment_col: str, by=())
     d = F.col(treatment_col) - F.col(control_col)
     m = pairs.groupBy(*by).agg(F.count(d).alias("n"), F.avg(d).alias("mean_diff"),
                                F.stddev_samp(d).alias("sd_diff"))
-    m = m.withColumn("t_statistic", F.col("mean_diff") / (F.col("sd_diff") / F.sqrt("n")))
+    m = m.withColumn("t_statistic", F.try_divide(F.col("mean_diff"), F.col("sd_diff") / F.sqrt("n")))
     m = m.withColumn("df", (F.col("n") - 1).cast("double"))
     return m.withColumn("p_value", t_pvalue_udf(F.col("t_statistic"), F.col("df")))
 
@@ -108,7 +110,7 @@ def power_plan(rates: DataFrame, rate_col: str = "baseline_rate", mde_col: str =
     z = norm_ppf(1 - alpha / 2) + norm_ppf(power)
     p1 = F.col(rate_col)
     p2 = p1 * (F.lit(1.0) + F.col(mde_col))
-    n = F.lit(z * z) * (p1 * (1 - p1) + p2 * (1 - p2)) / ((p1 - p2) * (p1 - p2))
+    n = F.try_divide(F.lit(z * z) * (p1 * (1 - p1) + p2 * (1 - p2)), (p1 - p2) * (p1 - p2))
     return rates.withColumn("required_n_per_group", F.ceil(n).cast("bigint"))
 
 
@@ -120,7 +122,8 @@ def model_winner(comparison: DataFrame, metric: str = "test_rmse") -> DataFrame:
         F.max(metric).alias("worst"),
         F.count(F.lit(1)).alias("n_models"))
     return ranked.select("winner", F.col("best").alias(f"winner_{metric}"),
-                         ((F.col("worst") - F.col("best")) / F.col("worst") * 100.0).alias("improvement_pct"),
+                         (F.try_divide(F.col("worst") - F.col("best"), F.col("worst")) * 100.0)
+                         .alias("improvement_pct"),
                          "n_models")
 
 

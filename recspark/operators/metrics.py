@@ -156,7 +156,8 @@ def diversity_similarity(recs: DataFrame, item_factors: DataFrame, k: int | None
     # a reference inside the lambda, which the optimizer would inline per element
     f = F.col("features")
     unit = item_factors.select("movieId", F.zip_with(f, F.array_repeat(norm(f), F.size(f)),
-                                                     lambda x, nv: x.cast("double") / nv).alias("_u"))
+                                                     lambda x, nv: F.try_divide(x.cast("double"), nv))
+                       .alias("_u"))
     lists = r.join(unit, "movieId").groupBy("userId").agg(
         F.collect_list("_u").alias("_l"), F.count(F.lit(1)).alias("_k"))
     width = F.size(F.col("_l")[0])

@@ -37,7 +37,8 @@ def data_summary(ratings: DataFrame) -> DataFrame:
 
 
 def _sparsity(n: Column, users: Column, movies: Column) -> Column:
-    return (F.lit(1.0) - n.cast("double") / (users.cast("double") * movies.cast("double"))) * 100.0
+    # empty input: NULL instead of an ANSI division error
+    return (F.lit(1.0) - F.try_divide(n.cast("double"), users.cast("double") * movies.cast("double"))) * 100.0
 
 
 def _ts_ntz(epoch: Column) -> Column:
@@ -242,7 +243,7 @@ def matrix_density(interactions: DataFrame) -> DataFrame:
                      F.countDistinct("movieId").alias("n_items"),
                      F.count(F.lit(1)).alias("nnz"))
     return agg.withColumn(
-        "density", F.col("nnz").cast("double") / (F.col("n_users").cast("double") * F.col("n_items")))
+        "density", F.try_divide(F.col("nnz").cast("double"), F.col("n_users").cast("double") * F.col("n_items")))
 
 
 def item_popularity(interactions: DataFrame) -> DataFrame:
@@ -271,7 +272,7 @@ def cold_start(ratings: DataFrame, key: str = "userId", min_ratings: int = 5) ->
     return counts.agg(
         F.sum(F.when(F.col("_n") < min_ratings, 1).otherwise(0)).cast("bigint").alias("n_cold"),
         F.count(F.lit(1)).alias("n_total")).withColumn(
-        "cold_pct", F.col("n_cold") / F.col("n_total") * 100.0)
+        "cold_pct", F.try_divide(F.col("n_cold"), F.col("n_total")) * 100.0)
 
 
 def histogram(values: DataFrame, col: str, bins: int) -> DataFrame:
@@ -305,7 +306,8 @@ def train_stats(train: DataFrame) -> DataFrame:
                     F.count(F.lit(1)).alias("n_ratings"),
                     F.avg("rating").alias("global_mean"))
     return agg.withColumn(
-        "density", F.col("n_ratings").cast("double") / (F.col("n_users").cast("double") * F.col("n_items")))
+        "density", F.try_divide(F.col("n_ratings").cast("double"),
+                                F.col("n_users").cast("double") * F.col("n_items")))
 
 
 def user_history(ratings: DataFrame, movies: DataFrame, users: DataFrame | None = None) -> DataFrame:

@@ -134,3 +134,20 @@ def test_zero_requests_health(spark):
     h = serving.health_status(m, serving.latency_ema(c)).first()
     assert h.status == "healthy"
     _ = dt
+
+
+def test_zero_divisors_give_null_not_errors(spark):
+    """ANSI arithmetic is on: constant groups, identical pairs and empty
+    tables must yield NULL statistics, not a division error."""
+    from recspark.operators import ab
+
+    vals = spark.createDataFrame([("control", 0.0), ("control", 0.0), ("treatment", 0.0), ("treatment", 0.0)],
+                                 "experiment_group string, value double")
+    r = ab.ab_ttest(vals).first()
+    assert r.t_statistic is None and r.relative_lift_pct is None and r.p_value is None
+    pairs = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0)], "a double, b double")
+    assert ab.paired_ttest(pairs, "a", "b").first().t_statistic is None
+    empty = spark.createDataFrame([], RATINGS)
+    s = prep.data_summary(empty).first()
+    assert s.n_ratings == 0 and s.sparsity is None
+    assert prep.matrix_density(empty).first().density is None
