@@ -81,11 +81,17 @@ def popular_items(interactions: DataFrame, n: int = 10, items: DataFrame | None
     return top.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
+ATTACH_MAX_ROWS = 10_000
+
+
 def attach_list(users: DataFrame, small: DataFrame, cols: list[str]) -> DataFrame:
     """Give every user the rows of ``small`` (a top-n list, size bounded by n)
     by explode of a literal array - no cross join, no broadcast of data that
     grows with the tables."""
-    rows = small.select(*cols).collect()
+    # size check, not a cap: a longer list is an error, never truncated
+    rows = small.select(*cols).limit(ATTACH_MAX_ROWS + 1).collect()
+    if len(rows) > ATTACH_MAX_ROWS:
+        raise ValueError(f"attach_list expects a top-n list of at most {ATTACH_MAX_ROWS} rows")
     if not rows:
         schema = T.StructType([users.schema["userId"]] + [small.schema[c] for c in cols])
         return users.sparkSession.createDataFrame([], schema)
