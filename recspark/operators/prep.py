@@ -8,7 +8,7 @@ the descriptive aggregates A5-A7, A10-A15, A18, P12/J3.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recspark.functions.hashing import unit_hash
@@ -224,8 +224,10 @@ def temporal_split(ratings: DataFrame, test_size: float = 0.2, val_size: float =
 def split_sizes(split_df: DataFrame) -> DataFrame:
     """Rows and share (%) per split."""
     counts = split_df.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
-    total = split_df.count()
-    return counts.withColumn("pct", F.col("n") / F.lit(float(total)) * 100.0)
+    # the total comes from the (at most one row per split label) count table,
+    # not from another pass over the rows
+    total = F.sum("n").over(Window.partitionBy())
+    return counts.withColumn("pct", F.col("n") / total * 100.0)
 
 
 # ---------------------------------------------------------------- matrix-level aggregates
