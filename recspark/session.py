@@ -27,27 +27,67 @@ _RUNTIME_CONF = {
 _SHIPPED: set[str] = set()
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Make ``recspark`` importable in the Python workers (pandas UDFs and
-    grouped-map functions live in its modules): zip the package once per
-    application and ``addPyFile`` it, as ``--py-files`` would."""
-    sc = spark.sparkContext
-    app = sc.applicationId
-    if app in _SHIPPED:
-        return
+def _package_zip() -> bytes:
+    """The ``recspark`` sources as a zip, built in memory."""
+    import io
     import zipfile
 
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
-    fd, path = tempfile.mkstemp(prefix="recspark-", suffix=".zip")
-    os.close(fd)
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for dirpath, _, names in os.walk(pkg_dir):
             for name in sorted(names):
                 if name.endswith(".py"):
                     full = os.path.join(dirpath, name)
                     z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(path)
+    return buf.getvalue()
+
+
+def _importable_on_executors(spark: SparkSession) -> bool:
+    """One one-row task asks a Python worker whether ``recspark`` imports
+    there already (installed on the cluster, or shipped with --py-files)."""
+    def probe(_):
+        import importlib.util
+
+        yield importlib.util.find_spec("recspark") is not None
+
+    return all(spark.sparkContext.parallelize([0], 1).mapPartitions(probe).collect())
+
+
+def write_shared_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write ``data`` to ``path`` through the cluster's Hadoop file system."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(hpath, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``recspark`` importable in the Python workers (pandas UDFs and
+    grouped-map functions live in its modules), as ``--py-files`` would.
+
+    On a cluster nothing is shipped when the workers import it already;
+    otherwise the zip goes to the shared checkpoint folder (never a
+    machine-local temporary folder).  A local-mode session (tests) ships a
+    scratch copy."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    if _is_local(spark):
+        fd, path = tempfile.mkstemp(prefix="recspark-", suffix=".zip")
+        with os.fdopen(fd, "wb") as f:
+            f.write(_package_zip())
+        sc.addPyFile(path)
+    elif not _importable_on_executors(spark):
+        path = scratch_path(spark, "pyfiles") + "/recspark.zip"
+        write_shared_bytes(spark, path, _package_zip())
+        sc.addPyFile(path)
     _SHIPPED.add(app)
 
 

@@ -63,3 +63,18 @@ def test_tracker_runs(spark):
     with pytest.raises(ValueError):
         tr.compare_runs("rmse")
     assert tr.table("run_tags").filter(F.col("key") == "team").count() == 3
+
+
+def test_package_probe_and_shared_write(spark):
+    import io
+    import zipfile
+
+    from recspark.session import (_importable_on_executors, _package_zip, scratch_path,
+                                  write_shared_bytes)
+
+    assert _importable_on_executors(spark)
+    path = scratch_path(spark, "pyfiles") + "/recspark.zip"
+    write_shared_bytes(spark, path, _package_zip())
+    local = path.split(":", 1)[1] if path.startswith("file:") else path
+    names = zipfile.ZipFile(io.BytesIO(open(local, "rb").read())).namelist()
+    assert "recspark/operators/blocks.py" in names and "recspark/session.py" in names
