@@ -173,9 +173,9 @@ def fit_explicit(train: DataFrame, rank: int = 50, max_iter: int = 10, reg: floa
               nonnegative=False)
     blocks = blocks or _default_blocks(spark)
     als = als.setNumUserBlocks(blocks).setNumItemBlocks(blocks)
-    resid = resid.persist(StorageLevel.MEMORY_AND_DISK)
+    # ALS reads its input once and persists its own blocked copy; the bias
+    # tables are checkpointed, so the residual is not stored a second time
     model = als.fit(resid)
-    resid.unpersist()
     uf, itf = _factors(model, umap, imap, bu, bi)
     params = dict(rank=rank, max_iter=max_iter, reg=reg, reg_user=reg_user, reg_item=reg_item,
                   sweeps=sweeps, seed=seed)
