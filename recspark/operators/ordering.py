@@ -6,7 +6,8 @@ and a per-key window moves a hot key into one task.  Instead:
 1. range-partition on (keys, order) so partitions are balanced even when one
    key holds a third of the rows (the order columns split it),
 2. sort within partitions and tag rows with ``monotonically_increasing_id``,
-3. checkpoint, so the numbering is computed once and survives executor loss,
+3. write the numbered rows as a table in the shared checkpoint folder, so
+   the numbering is computed once and survives executor loss,
 4. count rows per (partition, key) - a table of at most partitions + keys rows -
    and turn the counts into offsets with a window over that small table,
 5. position = offset + (id - first id of the run).
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recspark.session import checkpoint_dir
+from recspark.session import checkpoint_dir, scratch_path
 
 
 def global_positions(df: DataFrame, order_cols: list, by: list | None = None,
@@ -38,8 +39,13 @@ def global_positions(df: DataFrame, order_cols: list, by: list | None = None,
     numbered = (df.repartitionByRange(parts, *keys)
                 .sortWithinPartitions(*keys)
                 .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_mono", F.monotonically_increasing_id())
-                .checkpoint(eager=True))
+                .withColumn("_mono", F.monotonically_increasing_id()))
+    # the numbering is written once as a table in the shared folder: it is
+    # computed once, survives executor loss, and the offsets pass below
+    # reads only the (_pid, _mono, by) columns of it
+    path = scratch_path(spark, "positions")
+    numbered.write.parquet(path)
+    numbered = spark.read.parquet(path)
     runs = numbered.groupBy("_pid", *by).agg(F.min("_mono").alias("_m0"),
                                               F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(
