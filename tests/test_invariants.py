@@ -60,7 +60,8 @@ def test_block_topk_matches_brute_force(spark, broadcast_bytes):
     got = block_topk(L, R, 5, left_id="uid", right_id="iid", left_vec="f", right_vec="f",
                      left_bias="b", right_bias="b", offset=2.5, lo=0.5, hi=5.0, exclude=E,
                      left_block_rows=7, right_block_rows=9, chunk_rows=3,
-                     broadcast_bytes=broadcast_bytes).toPandas()
+                     broadcast_bytes=broadcast_bytes, broadcast_block_rows=7,
+                     max_markers=7).toPandas()
     exp = _brute([(a, b, np.float32(c)) for a, b, c in left], [(a, b, np.float32(c)) for a, b, c in right],
                  5, 2.5, exclude, 0.5, 5.0)
     for uid, items in exp.items():
