@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recspark.llm import quality_rules
+from recspark.llm import decontamination, quality_rules
 from recspark.llm.common import table
 
 
@@ -13,10 +13,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.line_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit words and items of every document against the whole benchmark."""
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
-    found = [op6_quality_rules]
+    found = [op6_quality_rules, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.SQL}
+    return {"op6_quality_rules": quality_rules.SQL, "op10_decontamination": decontamination.SQL}
