@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recspark.session import scratch_path
+from recspark.session import configure, scratch_path
 
 #: ASCII white space of the word contracts: ``[\x20\x09-\x0D]``
 SPACE = " \t\n\x0b\x0c\r"
@@ -67,3 +67,15 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         seen = tuple(state)
     # a star forest: each node once, pointing at its least
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+#: Arrow batches stay under this size, so that long texts don't pile up in a worker
+BATCH_BYTES = 16 * 1024 * 1024
+
+
+def arrow_rows(df: DataFrame, work, schema) -> DataFrame:
+    """``mapInArrow`` with the package on the workers and bounded batches."""
+    spark = df.sparkSession
+    configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(work, schema)

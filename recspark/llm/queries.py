@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recspark.llm import decontamination, quality_rules
+from recspark.llm import decontamination, packing, pii, quality_rules
 from recspark.llm.common import table
 
 
@@ -18,8 +19,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of personal data in every document."""
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of at most 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries():
-    found = [op6_quality_rules, op10_decontamination]
+    found = [op2_packing, op6_quality_rules, op9_pii, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
