@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recspark.llm import decontamination, packing, pii, quality_rules
+from recspark.llm import decontamination, ngram_join, packing, pii, quality_rules
 from recspark.llm.common import table
 
 
@@ -29,10 +29,22 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and near-duplicate component of every document."""
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of ``corpus_pipeline`` over ``documents``."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    found = [op2_packing, op6_quality_rules, op9_pii, op10_decontamination]
+    found = [op2_packing, op4_ngram_join, op6_quality_rules, op9_pii, op10_decontamination, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.SQL, "op10_decontamination": decontamination.SQL}
+    return {"op4_ngram_join": ngram_join.SQL, "op6_quality_rules": quality_rules.SQL, "op10_decontamination": decontamination.SQL}
