@@ -108,7 +108,10 @@ def _verdict(rows: DataFrame, docs: DataFrame, max_docs: int) -> DataFrame:
     left = F.col("n_words") - F.coalesce(F.col("_rw"), F.lit(0))
     depleted = F.col("_rw").isNotNull() & (
         (left < MIN_LEFT_WORDS) | (100 * left < MIN_LEFT_PCT * F.col("n_words")))
-    return (rows.join(cut, on, "left").withColumn("_kept", ~F.col("base_failed") & ~depleted)
+    # one sum, not a conjunction: a filter on base_failed alone would be pushed below the metrics
+    # and spell their expressions out once more for each use
+    failed = F.col("base_failed").cast("int") + F.coalesce(depleted.cast("int"), F.lit(0))
+    return (rows.join(cut, on, "left").withColumn("_kept", failed == 0)
             .withColumn("_left", left).drop("_d", "_h", "_t", "_rw"))
 
 
