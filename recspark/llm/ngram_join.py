@@ -7,9 +7,10 @@ share a shingle in their prefixes (``n - ceil(0.8 n) + 1`` first shingles).
 1. Every text becomes a set; the table of prefixes, set digests and 512-bit
    parity sketches is written once.  Shingles that many texts carry come last
    in the order; which those are only changes how many candidates there are.
-2. Equal sets collapse to one node.  Each node is verified against one partner
-   that shares most of its first shingles, which joins large families in a
-   star instead of all their pairs.
+2. Equal sets collapse to one node.  Nodes are sorted by the least shingles of
+   their hash ranges, in a few rotations; neighbours in a sort are the most
+   similar, and each node is verified against the nearest few.  This joins large
+   families without pairing all their members.
 3. Nodes of one component with the same size and prefix form a group.  Groups
    that share a prefix shingle and belong to different components are filtered
    by size and position, then expanded to members, filtered by sketch (the
@@ -44,7 +45,8 @@ from recspark.llm.common import arrow_rows, components, stored
 WORDS = 5
 NUM, DEN = 80, 100
 SKETCH_WORDS = 8
-HEADS = 4
+#: hash ranges of a set, sorts by them, following rows compared in a sort, and partners verified
+RANGES, SORTS, AHEAD, PARTNERS = 16, 4, 3, 3
 MEMBERS = 200
 BROADCAST_ROWS = 500_000
 #: shingles counted per chunk, least count in a chunk to be reported, most that are put last
@@ -96,6 +98,20 @@ def _ordered(s: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~is_hot], s[is_hot][np.argsort(rank[at[is_hot]])]]) if is_hot.any() else s
 
 
+def sort_keys(s: np.ndarray) -> np.ndarray:
+    """Two longs for each sort.  The hash space is cut into ranges; 16 bits of
+    the least hash of a range make a digit, and each sort takes eight digits
+    from another place on."""
+    if not len(s):
+        return np.zeros(2 * SORTS, np.uint64)
+    edges = np.searchsorted(s, np.arange(RANGES, dtype=np.uint64) << np.uint64(64 - (RANGES.bit_length() - 1)))
+    some = np.diff(np.append(edges, len(s))) > 0
+    digit = np.where(some, s[np.minimum(edges, len(s) - 1)] & np.uint64(0xFFFF), np.uint64(0))
+    at = (np.arange(SORTS)[:, None] * (RANGES // SORTS) + np.arange(8)) % RANGES
+    places = np.array([48, 32, 16, 0], np.uint64)
+    return (digit[at].reshape(2 * SORTS, 4) << places).sum(axis=1, dtype=np.uint64)
+
+
 def hot_shingles(docs: DataFrame) -> np.ndarray:
     """The most frequent shingles, rarest first: at most ``HOT``, so that the
     list stays below a megabyte.  Each chunk of texts reports the shingles that
@@ -129,7 +145,7 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n, digest, prefix, pdig, sketch), written once."""
+    """(row, doc_id, n, digest, prefix, pdig, sketch, keys), written once."""
     spark = docs.sparkSession
     by_count = hot_shingles(docs)
     shared = spark.sparkContext.broadcast(by_count)  # at most HOT longs
@@ -141,7 +157,7 @@ def prefixes(docs: DataFrame) -> DataFrame:
         rank = np.argsort(by_count)
         hot = by_count[rank]
         for b in batches:
-            n, digest, prefix, pdig, sketch = [], [], [], [], []
+            n, digest, prefix, pdig, sketch, keys = [], [], [], [], [], []
             for text in b.column("text").to_pylist():
                 s = shingle_set(text)
                 p = _ordered(s, hot, rank)[:prefix_length(len(s))]
@@ -149,6 +165,7 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 prefix.append(p.view(np.int64))
                 pdig.append(hashlib.blake2b(p.tobytes(), digest_size=16).digest())
+                keys.append(sort_keys(s).view(np.int64).tolist())
                 odd = np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1
                 sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             at = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
@@ -157,12 +174,14 @@ def prefixes(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([
                 b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(pdig, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(wide), pa.array(np.concatenate([np.empty(0, np.int64), *sketch])))],
-                names=["doc_id", "n", "digest", "prefix", "pdig", "sketch"])
+                pa.ListArray.from_arrays(pa.array(wide), pa.array(np.concatenate([np.empty(0, np.int64), *sketch]))),
+                pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "digest", "prefix", "pdig", "sketch", "keys"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()),
                            T.StructField("digest", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType())),
-                           T.StructField("pdig", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+                           T.StructField("pdig", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType())),
+                           T.StructField("keys", T.ArrayType(T.LongType()))])
     rows = arrow_rows(docs.select("doc_id", "text"), work, schema)
     return stored(rows.withColumn("row", F.monotonically_increasing_id()), "prefixes")
 
@@ -234,14 +253,46 @@ def _labels(sets: DataFrame, links: DataFrame | None, name: str) -> DataFrame:
         "row", "node", F.coalesce("_c", "node").alias("comp"))
 
 
-def star_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b): for every node b the partner a with the most common first
-    shingles among those that are the least node of one of them."""
-    heads = nodes.select("row", "n", "sketch", F.explode(F.slice("prefix", 1, HEADS)).alias("token"))
-    least = heads.groupBy("token").agg(F.min("row").alias("a"), F.count("*").alias("m")).where("m > 1")
-    near = heads.join(least, "token").where("row <> a").groupBy("row", "a").agg(F.count("*").alias("c"))
-    best = near.groupBy("row").agg(F.max(F.struct("c", "a")).alias("_m")).select(F.col("_m.a").alias("a"), F.col("row").alias("b"))
-    return _fitting(best, nodes)
+def near_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): for every node b up to ``PARTNERS`` nodes a that stand close to
+    it in a sort and pass the size and sketch filters, nearest sketches first.
+
+    The sorts are range-partitioned by all digits, so a large family is spread
+    over many tasks; a pair across the border of two is left to step 3."""
+    rows = nodes.select("row", "n", "sketch", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("s"), F.get("keys", F.lit(2 * i)).alias("k"), F.get("keys", F.lit(2 * i + 1)).alias("l"))
+        for i in range(SORTS)])).alias("_k")).select("row", "n", "sketch", "_k.*")
+    order = ["s", "k", "l", "row"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("row", "n", "sketch", "s")
+
+    def work(batches):
+        import pyarrow as pa
+
+        tail = None
+        for b in batches:
+            row, n, s = (b.column(c).to_numpy(zero_copy_only=False) for c in ("row", "n", "s"))
+            sk = b.column("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH_WORDS)
+            if tail is not None:
+                row, n, s, sk = (np.concatenate([x, y]) for x, y in zip(tail, (row, n, s, sk)))
+            old = 0 if tail is None else len(tail[0])
+            found = []
+            for d in range(1, AHEAD + 1):
+                i = np.arange(max(0, old - d), len(row) - d)
+                j = i + d
+                differ = np.bitwise_count(sk[i] ^ sk[j]).sum(axis=1)
+                na, nb = n[i], n[j]
+                need = -(-NUM * (na + nb) // (NUM + DEN))
+                ok = (s[i] == s[j]) & (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb)) & (differ <= na + nb - 2 * need)
+                found.append((row[i][ok], row[j][ok], differ[ok]))
+            x, y, d = (np.concatenate(f) for f in zip(*found))
+            yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(d.astype(np.int64))],
+                                  names=["a", "b", "d"])
+            tail = tuple(x[-AHEAD:] for x in (row, n, s, sk))
+
+    near = arrow_rows(rows, work, "a long, b long, d long").distinct()
+    # at most SORTS * 2 * AHEAD partners in a list
+    best = near.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "a"))), 1, PARTNERS).alias("_m"))
+    return best.select("b", F.explode("_m").alias("_m")).select(F.col("_m.a").alias("a"), "b")
 
 
 def _fitting(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -283,8 +334,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     reps = _small(first.where("row = node").select(F.col("row").alias("_r")))
     nodes = sets.join(reps, F.col("row") == F.col("_r"), "left_semi")
 
-    star = stored(verify(star_pairs(nodes), docs, nodes, "star"), "star-links")
-    labels = stored(_labels(sets.select("row", "n", "digest"), star, "star"), "star-labels")
+    near = stored(verify(near_pairs(nodes), docs, nodes, "near"), "near-links")
+    labels = stored(_labels(sets.select("row", "n", "digest"), near, "near"), "near-labels")
     own = labels.where("row = node").select(F.col("row").alias("_r"), "comp")
     # group: nodes of one component with equal size and prefix, named by the least
     member = stored(nodes.select("row", "n", "pdig", "doc_id", "digest").join(own, F.col("row") == F.col("_r")).drop("_r"), "members")
@@ -297,7 +348,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     cand = (group_pairs(groups).withColumnsRenamed({"a": "ga", "b": "gb"})
             .join(side("ga", "a"), "ga").join(side("gb", "b"), "gb").select("a", "b"))
     more = stored(verify(_fitting(cand, nodes), docs, nodes, "group"), "group-links")
-    links = star.unionByName(more)
+    links = near.unionByName(more)
     final = _labels(sets.select("row", "n", "digest"), links, "all") if more.limit(1).count() else labels
 
     rows = table.select("row", "doc_id", "n").join(final, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
