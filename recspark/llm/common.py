@@ -27,6 +27,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: most rows of a table of a few short columns that is broadcast
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table of few short columns, marked for broadcast when its counted rows
+    allow it; else the join shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only.  Pure ASCII texts take ``lower``, which is the
     same there and cheaper than ``translate``."""

@@ -20,7 +20,7 @@ share a shingle in their prefixes (``n - ceil(0.8 n) + 1`` first shingles).
 
 Every candidate that passes the exact filters is verified: no cap on partners,
 buckets or groups.  Verification tasks hold one text and at most
-``MEMBERS`` partners.  Tables are broadcast only below ``BROADCAST_ROWS`` counted
+``MEMBERS`` partners.  Tables are broadcast only below a counted number of
 rows, else joined by shuffle.
 
 Defined cases: null, empty or blank texts have an empty set, linked with
@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recspark.llm.common import arrow_rows, components, stored
+from recspark.llm.common import arrow_rows, components, small, stored
 
 WORDS = 5
 NUM, DEN = 80, 100
@@ -48,7 +48,6 @@ SKETCH_WORDS = 8
 #: hash ranges of a set, sorts by them, following rows compared in a sort, and partners verified
 RANGES, SORTS, AHEAD, PARTNERS = 16, 4, 3, 3
 MEMBERS = 200
-BROADCAST_ROWS = 500_000
 #: shingles counted per chunk, least count in a chunk to be reported, most that are put last
 CHUNK, CHUNK_LEAST, HOT = 2_000_000, 3, 100_000
 
@@ -186,11 +185,6 @@ def prefixes(docs: DataFrame) -> DataFrame:
     return stored(rows.withColumn("row", F.monotonically_increasing_id()), "prefixes")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A stored table, marked for broadcast when its counted rows allow it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _least_overlap(a: Column, b: Column) -> Column:
     """Shingles that linked sets of these sizes share at least."""
     return F.ceil((NUM * (a + b)) / F.lit(NUM + DEN))
@@ -219,7 +213,7 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, name: str) -> Da
                         F.col("a").alias("row"), F.lit(True).alias("first"))
     wanted = stored(dealt.unionByName(firsts).join(nodes.select("row", "doc_id", "digest"), "row"), f"{name}-wanted")
     # a null id has no equal: its rows are told apart by the digest alone
-    ids = _small(wanted.select(F.col("doc_id").alias("_d")).distinct())
+    ids = small(wanted.select(F.col("doc_id").alias("_d")).distinct())
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
     w = wanted.select("a", "part", "row", "first", F.col("doc_id").alias("_d"), "digest")
     rows = texts.join(w, F.col("doc_id").eqNullSafe(F.col("_d"))).select("a", "part", "row", "first", "digest", "text")
@@ -313,7 +307,7 @@ def group_pairs(groups: DataFrame) -> DataFrame:
     rows = groups.select("row", "n", "comp", F.posexplode("prefix").alias("pos", "token"))
     across = stored(rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                     .where("lo <> hi").select(F.col("token").alias("_t")), "shared-shingles")
-    met = stored(rows.join(_small(across), F.col("token") == F.col("_t")).drop("_t"), "shared-rows")
+    met = stored(rows.join(small(across), F.col("token") == F.col("_t")).drop("_t"), "shared-rows")
     by_comp = met.select("token", "comp").distinct()
     pairs = by_comp.select("token", F.col("comp").alias("ca")).join(
         by_comp.select("token", F.col("comp").alias("cb")), "token").where("ca < cb")
@@ -331,7 +325,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     table = prefixes(docs)
     sets = table.where("n > 0")
     first = stored(_labels(sets.select("row", "n", "digest"), None, "copies"), "copies")
-    reps = _small(first.where("row = node").select(F.col("row").alias("_r")))
+    reps = small(first.where("row = node").select(F.col("row").alias("_r")))
     nodes = sets.join(reps, F.col("row") == F.col("_r"), "left_semi")
 
     near = stored(verify(near_pairs(nodes), docs, nodes, "near"), "near-links")
@@ -341,7 +335,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     member = stored(nodes.select("row", "n", "pdig", "doc_id", "digest").join(own, F.col("row") == F.col("_r")).drop("_r"), "members")
     grouped = member.groupBy("n", "pdig", "comp").agg(F.min("row").alias("grp"))
     members = stored(member.join(grouped, ["n", "pdig", "comp"]).select("grp", "row"), "groups")
-    heads = _small(grouped.select(F.col("grp").alias("_g"), "comp"))
+    heads = small(grouped.select(F.col("grp").alias("_g"), "comp"))
     groups = sets.select("row", "n", "prefix").join(heads, F.col("row") == F.col("_g")).drop("_g")
 
     side = lambda g, x: members.select(F.col("grp").alias(g), F.col("row").alias(x))
@@ -362,7 +356,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = jaccard_components(docs)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     keep = keep.select(F.col("doc_id").alias("_d"))
-    out = docs.join(_small(stored(keep, "kept-ids")), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    out = docs.join(small(stored(keep, "kept-ids")), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
     # repeated rows of the kept id are one document
     return out.select(*[F.col(f"`{c}`") for c in cols])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recspark.llm import decontamination, ngram_join, packing, pii, quality_rules
+from recspark.llm import decontamination, ngram_join, packing, pii, quality_rules, warc
 from recspark.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of ``corpus_pipeline`` over ``documents``."""
     import corpus_pipeline
@@ -42,9 +47,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    found = [op2_packing, op4_ngram_join, op6_quality_rules, op9_pii, op10_decontamination, pipeline]
+    found = [op2_packing, op3_warc, op4_ngram_join, op6_quality_rules, op9_pii, op10_decontamination, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_join": ngram_join.SQL, "op6_quality_rules": quality_rules.SQL, "op10_decontamination": decontamination.SQL}
+    return {"op3_warc": warc.SQL, "op4_ngram_join": ngram_join.SQL, "op6_quality_rules": quality_rules.SQL, "op10_decontamination": decontamination.SQL}
