@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recspark.llm import decontamination, ngram_join, packing, pii, quality_rules, warc
+from recspark.llm import decontamination, ngram_join, packing, pii, quality_rules, toxicity, warc
 from recspark.llm.common import table
 
 
@@ -39,6 +39,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of ``corpus_pipeline`` over ``documents``."""
     import corpus_pipeline
@@ -47,7 +52,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    found = [op2_packing, op3_warc, op4_ngram_join, op6_quality_rules, op9_pii, op10_decontamination, pipeline]
+    found = [op2_packing, op3_warc, op4_ngram_join, op6_quality_rules, op8_toxicity, op9_pii, op10_decontamination, pipeline]
     return {f.__name__: f for f in found}
 
 
