@@ -85,8 +85,10 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
         total = np.zeros(_ALPHABET ** 4, np.int64)
         for b in batches:
-            c = codes("   ".join(t for t in b.column("text").to_pylist() if t)).astype(np.int32)
-            if len(c) > 3:
+            # three blanks around each text: no gram holds letters of two, however they are batched
+            texts = ["", *filter(None, b.column("text").to_pylist()), ""]
+            c = codes("   ".join(texts)).astype(np.int32)
+            if len(texts) > 2:
                 total += np.bincount(((c[:-3] * 27 + c[1:-2]) * 27 + c[2:-1]) * 27 + c[3:], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["gram", "n"])
@@ -252,20 +254,31 @@ def fit(docs: DataFrame, labels: DataFrame, model) -> tuple[dict[str, int], np.n
     return chosen, _logistic([r["f"] for r in rows], np.array([r["y"] for r in rows], float), len(chosen))
 
 
-def _logistic(features: list[list[int]], y: np.ndarray, k: int, steps: int = 300, l2: float = 1e-3) -> np.ndarray:
-    """Accelerated gradient descent with step sizes from a curvature bound."""
-    x = np.zeros((len(y), k + 1), np.float32)
-    for i, f in enumerate(features):
-        x[i, f] = 1
+def _logistic(features: list[list[int]], y: np.ndarray, k: int, steps: int = 1000, l2: float = 1e-5) -> np.ndarray:
+    """Accelerated gradient descent; equal rows are one row with a weight."""
+    weight: dict[tuple, float] = {}
+    for f, t in zip(features, y.tolist()):
+        weight[(tuple(f), t)] = weight.get((tuple(f), t), 0) + 1 / len(y)
+    rows = list(weight)
+    x = np.zeros((len(rows), k + 1), np.float32)
+    for i, (f, _) in enumerate(rows):
+        x[i, list(f)] = 1
     x[:, k] = 1
-    w = v = np.zeros(k + 1)
-    step = 1 / (0.25 * max(1.0, float((x.sum(axis=1)).mean() * 2)) + l2)
+    target, share = np.array([t for _, t in rows], np.float32), np.array(list(weight.values()), np.float32)
+    u = np.ones(k + 1, np.float32)
+    for _ in range(30):  # the largest eigenvalue bounds the curvature
+        u = x.T @ (share * (x @ u))
+        top = float(np.linalg.norm(u))
+        u /= top
+    decay = np.append(np.full(k, l2, np.float32), 0)
+    step = 1 / (0.25 * top * 1.05 + l2)
+    w = v = np.zeros(k + 1, np.float32)
     for t in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        new = v - step * (x.T @ (p - y) / len(y) * 4 + l2 * np.append(v[:-1], 0))
+        new = v - step * (x.T @ (share * (p - target)) + decay * v)
         v = new + t / (t + 3) * (new - w)
         w = new
-    return w
+    return w.astype(float)
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
