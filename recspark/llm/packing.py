@@ -81,7 +81,7 @@ def token_rows(docs: DataFrame, tokenizer_path: str, groups: int, size: int = SE
     def work(batches):
         import pyarrow as pa
 
-        enc = encoder(shared)
+        enc = encoder(shared.value)
         for b in batches:
             n, full, rest = [], [], []
             for ids in enc.ids(b.column("text").to_pylist()):

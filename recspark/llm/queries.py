@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recspark.llm import decontamination, ngram_join, packing, pii, quality_rules, toxicity, warc
+from recspark.llm import decontamination, ngram_join, packing, pii, quality_rules, substring_dedup, token_counts, toxicity, warc
 from recspark.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of text that occur more than once in all documents."""
+    return substring_dedup.repeated(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of at most 4096 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -39,6 +44,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after its revision."""
+    docs = token_counts.revision_edits(table(spark, sf_dir, "documents"))
+    return token_counts.counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -52,9 +63,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    found = [op2_packing, op3_warc, op4_ngram_join, op6_quality_rules, op8_toxicity, op9_pii, op10_decontamination, pipeline]
+    found = (op1_substring_dedup, op2_packing, op3_warc, op4_ngram_join, op5_token_counts, op6_quality_rules,
+             op8_toxicity, op9_pii, op10_decontamination, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.SQL, "op4_ngram_join": ngram_join.SQL, "op6_quality_rules": quality_rules.SQL, "op10_decontamination": decontamination.SQL}
+    return {"op3_warc": warc.SQL, "op4_ngram_join": ngram_join.SQL, "op6_quality_rules": quality_rules.SQL,
+            "op10_decontamination": decontamination.SQL}

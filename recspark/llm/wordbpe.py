@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 
 import numpy as np
 
@@ -81,10 +82,10 @@ def _is_plain(text: str) -> bool:
 _OPEN: dict[int, WordEncoder] = {}
 
 
-def encoder(tokenizer_json) -> WordEncoder:
-    """The worker's encoder for a broadcast tokenizer file."""
-    key = tokenizer_json.id if hasattr(tokenizer_json, "id") else hash(tokenizer_json)
+def encoder(tokenizer_json: str) -> WordEncoder:
+    """The worker's encoder for a tokenizer file; it outlives a task."""
+    key = zlib.crc32(tokenizer_json.encode())
     if key not in _OPEN:
         _OPEN.clear()
-        _OPEN[key] = WordEncoder(getattr(tokenizer_json, "value", tokenizer_json))
+        _OPEN[key] = WordEncoder(tokenizer_json)
     return _OPEN[key]
