@@ -5,7 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recspark.llm import decontamination, ngram_join, packing, pii, quality_rules, substring_dedup, token_counts, toxicity, warc
+from recspark.llm import (
+    decontamination,
+    ngram_join,
+    packing,
+    pii,
+    quality_rules,
+    substring_dedup,
+    token_counts,
+    tool_calls,
+    toxicity,
+    warc,
+)
 from recspark.llm.common import table
 
 
@@ -50,6 +61,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of all conversations, linked to their results and put in order."""
+    calls, results = tool_calls.extract(table(spark, sf_dir, "conversations"))
+    return tool_calls.link(calls, results, tool_calls.schema_table(spark))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -64,10 +81,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     found = (op1_substring_dedup, op2_packing, op3_warc, op4_ngram_join, op5_token_counts, op6_quality_rules,
-             op8_toxicity, op9_pii, op10_decontamination, pipeline)
+             op7_tool_calls, op8_toxicity, op9_pii, op10_decontamination, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_warc": warc.SQL, "op4_ngram_join": ngram_join.SQL, "op6_quality_rules": quality_rules.SQL,
+            "op7_tool_calls": tool_calls.SQL,
             "op10_decontamination": decontamination.SQL}
