@@ -50,6 +50,8 @@ RANGES, SORTS, AHEAD, PARTNERS = 16, 4, 3, 3
 MEMBERS = 200
 #: shingles counted per chunk, least count in a chunk to be reported, most that are put last
 CHUNK, CHUNK_LEAST, HOT = 2_000_000, 3, 100_000
+#: most shingles (one long each) that are broadcast
+BROADCAST_SHINGLES = 2_000_000
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _WORDS: dict[bytes, int] = {}
@@ -97,6 +99,16 @@ def _ordered(s: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~is_hot], s[is_hot][np.argsort(rank[at[is_hot]])]]) if is_hot.any() else s
 
 
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the set in at least as many bits as it has members (a power of
+    two, 512 at least) as longs.  XOR of its halves is the sketch of half as
+    many bits; the bits in which two sketches differ are at most the members in
+    which the sets differ."""
+    bits = max(64 * SKETCH_WORDS, 1 << (len(s) - 1).bit_length() if len(s) else 0)
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sort_keys(s: np.ndarray) -> np.ndarray:
     """Two longs for each sort.  The hash space is cut into ranges; 16 bits of
     the least hash of a range make a digit, and each sort takes eight digits
@@ -144,7 +156,7 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n, digest, prefix, pdig, sketch, keys), written once."""
+    """(row, doc_id, n, digest, prefix, pdig, sketch, wide, keys), written once."""
     spark = docs.sparkSession
     by_count = hot_shingles(docs)
     shared = spark.sparkContext.broadcast(by_count)  # at most HOT longs
@@ -156,7 +168,7 @@ def prefixes(docs: DataFrame) -> DataFrame:
         rank = np.argsort(by_count)
         hot = by_count[rank]
         for b in batches:
-            n, digest, prefix, pdig, sketch, keys = [], [], [], [], [], []
+            n, digest, prefix, pdig, sketch, wide, keys = [], [], [], [], [], [], []
             for text in b.column("text").to_pylist():
                 s = shingle_set(text)
                 p = _ordered(s, hot, rank)[:prefix_length(len(s))]
@@ -165,21 +177,21 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 prefix.append(p.view(np.int64))
                 pdig.append(hashlib.blake2b(p.tobytes(), digest_size=16).digest())
                 keys.append(sort_keys(s).view(np.int64).tolist())
-                odd = np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1
-                sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                w = parity_sketch(s)
+                wide.append(w)
+                sketch.append(np.bitwise_xor.reduce(w.reshape(-1, SKETCH_WORDS), axis=0))
             at = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             flat = np.concatenate([np.empty(0, np.int64), *prefix])
-            wide = np.arange(len(n) + 1, dtype=np.int32) * SKETCH_WORDS
             yield pa.record_batch([
                 b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(pdig, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(wide), pa.array(np.concatenate([np.empty(0, np.int64), *sketch]))),
-                pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "digest", "prefix", "pdig", "sketch", "keys"])
+                pa.array(sketch, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "digest", "prefix", "pdig", "sketch", "wide", "keys"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()),
                            T.StructField("digest", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType())),
                            T.StructField("pdig", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType())),
+                           T.StructField("wide", T.ArrayType(T.LongType())),
                            T.StructField("keys", T.ArrayType(T.LongType()))])
     rows = arrow_rows(docs.select("doc_id", "text"), work, schema)
     return stored(rows.withColumn("row", F.monotonically_increasing_id()), "prefixes")
@@ -195,8 +207,14 @@ def _sizes_fit(a: Column, b: Column) -> Column:
 
 
 def _sketches_fit(a: str, b: str, na: Column, nb: Column) -> Column:
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
-                                         for i in range(SKETCH_WORDS)])
+    """Sizes that fit make sketches of equal width or one of twice the other."""
+    words = F.least(F.size(a), F.size(b))
+    xor = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+
+    def folded(w):
+        return F.when(F.size(w) == words, F.col(w)).otherwise(xor(F.slice(w, 1, words), F.slice(w, words + 1, words)))
+
+    differ = F.aggregate(F.transform(xor(folded(a), folded(b)), lambda x: F.bit_count(x)), F.lit(0), lambda t, x: t + x)
     return differ <= na + nb - 2 * _least_overlap(na, nb)
 
 
@@ -291,32 +309,45 @@ def near_pairs(nodes: DataFrame) -> DataFrame:
 
 def _fitting(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs that pass the size and sketch filters."""
-    side = lambda x: nodes.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    side = lambda x: nodes.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.where(_sizes_fit(F.col("na"), F.col("nb"))
                       & _sketches_fit("sa", "sb", F.col("na"), F.col("nb"))).select("a", "b")
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:
-    """Candidate pairs (g, h) of groups (row, n, prefix, comp) that share a
-    prefix shingle across components and pass the size and position filters.
-
-    Shingles of one component only are dropped by a min / max aggregate; for
-    the others the components of a shingle are paired first, so members of a
-    large component are never paired among themselves."""
+    """Candidate pairs (a, b) of groups (row, n, prefix, comp), a the smaller,
+    that share a prefix shingle across components and pass the size and
+    position filters.
+
+    The smaller of two linked sets has the first common shingle among the first
+    ``n / 9`` of its prefix (``need`` below for equal sizes); sizes are within a
+    factor of 1.25, so equal or neighbouring classes on that scale.  Shingles
+    that can't give a pair are dropped by an aggregate combined before the
+    shuffle; for the others the components of a shingle and size class are
+    paired first, so members of a large component are never paired among
+    themselves."""
+    n, pos = F.col("n"), F.col("pos")
     rows = groups.select("row", "n", "comp", F.posexplode("prefix").alias("pos", "token"))
-    across = stored(rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                    .where("lo <> hi").select(F.col("token").alias("_t")), "shared-shingles")
-    met = stored(rows.join(small(across), F.col("token") == F.col("_t")).drop("_t"), "shared-rows")
-    by_comp = met.select("token", "comp").distinct()
-    pairs = by_comp.select("token", F.col("comp").alias("ca")).join(
-        by_comp.select("token", F.col("comp").alias("cb")), "token").where("ca < cb")
-    side = lambda x: met.select("token", F.col("comp").alias(f"c{x}"), F.col("row").alias(x),
-                                F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"))
-    pairs = pairs.join(side("a"), ["token", "ca"]).join(side("b"), ["token", "cb"])
+    early = n - pos >= _least_overlap(n, n)
+    across = stored(rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(early).alias("early"))
+                    .where("lo <> hi AND early").select(F.col("token").alias("_t")), "shared-shingles")
+    size_class = F.floor(F.log(n.cast("double")) / F.log(F.lit(DEN / NUM))).cast("int")
+    met = stored(rows.join(small(across, BROADCAST_SHINGLES), F.col("token") == F.col("_t")).drop("_t")
+                 .withColumns({"class": size_class, "early": early}), "shared-rows")
+    # two classes on, too, against the rounding of a size at the edge of its class
+    smaller = met.where("early").withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1, F.col("class") + 2)))
+    keys = ["token", "class"]
+    of_a = smaller.select(*keys, F.col("comp").alias("ca")).distinct()
+    of_b = met.select(*keys, F.col("comp").alias("cb")).distinct()
+    pairs = of_a.join(of_b, keys).where("ca <> cb")
+    side = lambda rows, x: rows.select(*keys, F.col("comp").alias(f"c{x}"), F.col("row").alias(x),
+                                       F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"))
+    pairs = pairs.join(side(smaller, "a"), [*keys, "ca"]).join(side(met, "b"), [*keys, "cb"])
     na, nb = F.col("na"), F.col("nb")
     need = _least_overlap(na, nb)
-    return pairs.where(_sizes_fit(na, nb) & (na - F.col("pa") >= need) & (nb - F.col("pb") >= need)).select("a", "b").distinct()
+    return pairs.where(((na < nb) | ((na == nb) & (F.col("a") < F.col("b")))) & _sizes_fit(na, nb) & (na - F.col("pa") >= need) & (nb - F.col("pb") >= need)
+                       ).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
