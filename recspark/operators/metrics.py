@@ -34,8 +34,9 @@ def accuracy(scored: DataFrame, actual: str = "rating", predicted: str = "predic
 
 
 def _hits(recs: DataFrame, relevant: DataFrame, gain: str | None) -> DataFrame:
-    rel = relevant.select("userId", "movieId",
-                          (F.col(gain).cast("double") if gain else F.lit(1.0)).alias("_gain"))
+    # one row per pair: a relevant item that is listed twice is one hit
+    rel = relevant.groupBy("userId", "movieId").agg(
+        (F.max(F.col(gain).cast("double")) if gain else F.lit(1.0)).alias("_gain"))
     return recs.select("userId", "movieId", "rank").join(rel, ["userId", "movieId"], "left")
 
 
@@ -85,7 +86,7 @@ def ranking_metrics(recs: DataFrame, relevant: DataFrame, ks=(5, 10, 20),
         idcg = F.col(f"_id{k}") if gain else _binary_idcg(F.lit(k), F.col("n_relevant"))
         rows.append(F.struct(
             F.lit(k).cast("bigint").alias("k"),
-            (h / F.lit(float(k))).alias("precision"),
+            (h / F.lit(float(k)) if k > 0 else F.lit(0.0)).alias("precision"),
             (h / F.col("n_relevant")).alias("recall"),
             F.when(F.coalesce(idcg, F.lit(0.0)) == 0, F.lit(0.0)).otherwise(d / idcg).alias("ndcg")))
     # one row per (user, k) from a single pass over the per-user table
@@ -146,7 +147,8 @@ def _pairwise_mean(arr: Column, dist) -> Column:
 
 def diversity_similarity(recs: DataFrame, item_factors: DataFrame, k: int | None = None) -> DataFrame:
     """Mean over pairs of 1 - cosine(item factors).  Items without factors
-    are dropped from the list.  Result: userId, diversity.
+    are dropped from the list; a zero vector is similar to none.  Result: userId,
+    diversity, for every user with recommendations.
 
     With unit vectors u_i the pair sum is closed-form,
     Σ_{i<j} u_i·u_j = (|Σ u_i|² - Σ |u_i|²) / 2, so a list costs O(k·d)
@@ -156,7 +158,7 @@ def diversity_similarity(recs: DataFrame, item_factors: DataFrame, k: int | None
     # a reference inside the lambda, which the optimizer would inline per element
     f = F.col("features")
     unit = item_factors.select("movieId", F.zip_with(f, F.array_repeat(norm(f), F.size(f)),
-                                                     lambda x, nv: F.try_divide(x.cast("double"), nv))
+                                                     lambda x, nv: F.coalesce(F.try_divide(x.cast("double"), nv), F.lit(0.0)))
                        .alias("_u"))
     lists = r.join(unit, "movieId").groupBy("userId").agg(
         F.collect_list("_u").alias("_l"), F.count(F.lit(1)).alias("_k"))
@@ -167,7 +169,10 @@ def diversity_similarity(recs: DataFrame, item_factors: DataFrame, k: int | None
     self_sq = F.aggregate("_l", F.lit(0.0), lambda acc, u: acc + dot(u, u))
     n = F.col("_k")
     mean_cos = (sq - self_sq) / (n * (n - 1))
-    return lists.select("userId", F.when(n <= 1, F.lit(1.0)).otherwise(1.0 - mean_cos).alias("diversity"))
+    lists = lists.select("userId", F.when(n <= 1, F.lit(1.0)).otherwise(1.0 - mean_cos).alias("diversity"))
+    # a user none of whose items has factors keeps a list of no items
+    return r.select("userId").distinct().join(lists, "userId", "left").select(
+        "userId", F.coalesce("diversity", F.lit(1.0)).alias("diversity"))
 
 
 def diversity_features(recs: DataFrame, movies: DataFrame, k: int | None = None) -> DataFrame:

@@ -49,7 +49,8 @@ class FactorModel:
         if self.kind == "implicit":
             if popular is None:
                 raise ValueError("implicit recommend needs a popular-items table for unknown users")
-            return scoring.recommend_implicit(users, self.user_factors, self.item_factors, popular, n, seen)
+            return scoring.recommend_implicit(users, self.user_factors, self.item_factors, popular, n, seen,
+                                              candidates=candidates)
         return scoring.recommend_explicit(users, self.user_factors, self.item_factors, self.mu, n,
                                           seen=seen, candidates=candidates)
 
@@ -71,7 +72,7 @@ def fit_biases(train: DataFrame, reg_user: float = 15.0, reg_item: float = 10.0,
     tables never re-run the sweeps over the training data."""
     r = train.select("userId", "movieId", F.col("rating").cast("double").alias("rating"))
     if mu is None:
-        mu = float(r.agg(F.avg("rating")).first()[0])
+        mu = float(r.agg(F.avg("rating")).first()[0] or 0.0)  # no ratings: no offset
     m = F.lit(float(mu))
     n_sweeps = max(1, int(sweeps))
     if checkpoint_every:

@@ -17,7 +17,7 @@ This is the distributed equivalent of ``row_number() - 1``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recspark.session import checkpoint_dir, scratch_path
@@ -60,3 +60,54 @@ def global_positions(df: DataFrame, order_cols: list, by: list | None = None,
         total = runs.agg(F.sum("_cnt")).first()[0] or 0
         return out, int(total)
     return out
+
+
+#: buckets of a histogram pass, and rows that are sorted on the driver at the end
+_BUCKETS, _FEW = 4096, 4096
+
+
+def keys_at(df: DataFrame, cols: list[str], positions: list[int]) -> list[tuple]:
+    """The values of the integer ``cols`` (a total order) in the rows at the
+    given 0-based positions, without sorting or moving the table: a histogram
+    of the first column finds the bucket that holds a position, the bucket is
+    refined until few rows are left or one value, whose rows are then told
+    apart by the next column.  Passes only aggregate; the driver gets at most
+    ``_BUCKETS`` counts or ``_FEW`` keys at a time.  Nulls come first."""
+    df = df.select(*cols)
+    return [_key_at(df, list(cols), cols, int(k)) for k in positions]
+
+
+def _key_at(df: DataFrame, cols: list[str], all_cols: list[str], k: int) -> tuple:
+    while cols:
+        c = F.col(cols[0])
+        s = df.agg(F.count("*").alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"),
+                   F.count(F.when(c.isNull(), 1)).alias("nulls")).first()
+        if s["n"] <= _FEW:
+            return tuple(df.orderBy(*all_cols).limit(k + 1).collect()[k])
+        if k < s["nulls"]:
+            df, cols = df.where(c.isNull()), cols[1:]
+            continue
+        k -= s["nulls"]
+        df = df.where(c.isNotNull())
+        if s["lo"] == s["hi"]:
+            cols = cols[1:]
+            continue
+        width = -(-(s["hi"] - s["lo"] + 1) // _BUCKETS)
+        bucket = F.expr(f"(`{cols[0]}` - {s['lo']}L) div {width}L")
+        for b, n in sorted(map(tuple, df.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect())):
+            if k < n:
+                lo = s["lo"] + b * width
+                df = df.where((c >= lo) & (c < lo + width))
+                break
+            k -= n
+    return tuple(df.first())  # the rows that are left are equal
+
+
+def before(cols: list[str], key: tuple) -> Column:
+    """Whether a row stands before ``key`` in the order of ``cols``, nulls first."""
+    out = F.lit(False)
+    for c, v in reversed(list(zip(cols, key))):
+        col = F.col(c)
+        less = F.lit(False) if v is None else (col.isNull() | (col < F.lit(v)))
+        out = less | (col.eqNullSafe(F.lit(v)) & out)
+    return F.coalesce(out, F.lit(False))

@@ -8,11 +8,12 @@ the descriptive aggregates A5-A7, A10-A15, A18, P12/J3.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recspark.functions.hashing import unit_hash
-from recspark.operators.ordering import global_positions
+from recspark.operators.ordering import before, global_positions, keys_at
 
 # ---------------------------------------------------------------- profile
 
@@ -86,7 +87,7 @@ def clean_report(before: DataFrame, after: DataFrame) -> DataFrame:
                   F.countDistinct("movieId").alias("n_movies"))
     return a.select(
         (F.lit(b) - F.col("remaining")).cast("bigint").alias("removed"),
-        ((F.lit(b) - F.col("remaining")) / F.lit(float(b)) * 100.0).alias("removed_pct"),
+        (F.try_divide(F.lit(b) - F.col("remaining"), F.lit(float(b))) * 100.0).alias("removed_pct"),
         "remaining", "n_users", "n_movies")
 
 
@@ -197,13 +198,30 @@ def random_split(ratings: DataFrame, test_size: float = 0.2, val_size: float = 0
             .otherwise("train"))
     import math
 
-    pos, n = global_positions(ratings.withColumn("_h", h), ["_h", "userId", "movieId"], name="_pos",
-                              with_total=True)
-    n_test = int(math.ceil(n * test_size))
-    n_val = int(math.ceil((n - n_test) * (val_size / (1.0 - test_size))))
-    return pos.withColumn(
-        "split", F.when(F.col("_pos") < n_test, "test")
-        .when(F.col("_pos") < n_test + n_val, "val").otherwise("train")).drop("_h", "_pos")
+    # the hash as three numbers, in the order of its hexadecimal digits
+    order = ["_h1", "_h2", "_h3", "userId", "movieId"]
+    digits = [F.conv(F.substring(h, i, w), 16, 10).cast("bigint") for i, w in ((1, 12), (13, 12), (25, 8))]
+    keyed = ratings.withColumns(dict(zip(order, digits)))
+
+    def sizes(n):
+        n_test = int(math.ceil(n * test_size))
+        return n_test, n_test + int(math.ceil((n - n_test) * (val_size / (1.0 - test_size))))
+
+    test_end, val_end = _cuts(keyed, order, sizes)
+    return keyed.withColumn("split", F.when(test_end, "test").when(val_end, "val").otherwise("train")).drop(*order[:3])
+
+
+def _cuts(keyed: DataFrame, order: list[str], sizes) -> list:
+    """For each size of ``sizes(number of rows)`` whether a row is among the
+    first so many in ``order``: two keys are looked up, no row is moved."""
+    keys = keyed.select(*order).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = keys.count()
+        ends = sizes(n)
+        found = keys_at(keys, order, [k for k in ends if k < n])
+    finally:
+        keys.unpersist()
+    return [before(order, found[i]) if k < n else F.lit(True) for i, k in enumerate(ends)]
 
 
 def temporal_split(ratings: DataFrame, test_size: float = 0.2, val_size: float = 0.1,
@@ -213,12 +231,12 @@ def temporal_split(ratings: DataFrame, test_size: float = 0.2, val_size: float =
     Reference cut (default): test_idx = int(n*(1-test)), val_idx =
     int(test_idx*(1-val)), i.e. 72/8/20.  ``exact`` gives 70/10/20.
     """
-    pos, n = global_positions(ratings, ["timestamp", "userId", "movieId"], name="_pos", with_total=True)
-    test_idx = int(n * (1 - test_size))
-    val_idx = int(n * (1 - test_size - val_size)) if exact else int(test_idx * (1 - val_size))
-    return pos.withColumn(
-        "split", F.when(F.col("_pos") < val_idx, "train")
-        .when(F.col("_pos") < test_idx, "val").otherwise("test")).drop("_pos")
+    def sizes(n):
+        test_idx = int(n * (1 - test_size))
+        return (int(n * (1 - test_size - val_size)) if exact else int(test_idx * (1 - val_size))), test_idx
+
+    train_end, val_end = _cuts(ratings, ["timestamp", "userId", "movieId"], sizes)
+    return ratings.withColumn("split", F.when(train_end, "train").when(val_end, "val").otherwise("test"))
 
 
 def split_sizes(split_df: DataFrame) -> DataFrame:
@@ -278,13 +296,16 @@ def cold_start(ratings: DataFrame, key: str = "userId", min_ratings: int = 5) ->
 
 
 def histogram(values: DataFrame, col: str, bins: int) -> DataFrame:
-    """Equal-width histogram over [min, max] (last bin closed), non-empty bins."""
+    """Equal-width histogram over [min, max] (last bin closed), one row per
+    bin, also for empty ones; no rows for no values."""
     lo, hi = values.agg(F.min(col), F.max(col)).first()
-    lo, hi = float(lo), float(hi)
+    n_bins = 0 if lo is None else bins
+    lo, hi = (0.0, 0.0) if lo is None else (float(lo), float(hi))
     width = (hi - lo) if hi > lo else 1.0
     v = F.col(col).cast("double")
     b = F.least(F.lit(bins), F.floor((v - F.lit(lo)) / F.lit(width) * F.lit(float(bins))) + 1)
-    counts = values.groupBy(b.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = values.where(v.isNotNull()).groupBy(b.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = values.sparkSession.range(1, n_bins + 1).toDF("bin").join(counts, "bin", "left").fillna(0, ["n"])
     return counts.select(
         "bin",
         (F.lit(lo) + (F.col("bin") - 1) * F.lit(width / bins)).alias("bin_lo"),
@@ -316,7 +337,8 @@ def user_history(ratings: DataFrame, movies: DataFrame, users: DataFrame | None
     """Ratings of the given users (all when None) with title and genres,
     ordered per user by rating desc."""
     rated = ratings if users is None else ratings.join(users.select("userId"), "userId", "left_semi")
-    return rated.join(movies, "movieId").select("userId", "movieId", "title", "genres", "rating")
+    out = rated.join(movies, "movieId").select("userId", "movieId", "title", "genres", "rating")
+    return out.orderBy("userId", F.desc("rating"), "movieId")
 
 
 def processing_info(ratings: DataFrame, split_df: DataFrame) -> DataFrame:

@@ -101,10 +101,13 @@ def attach_list(users: DataFrame, small: DataFrame, cols: list[str]) -> DataFram
 
 
 def recommend_implicit(users: DataFrame, user_factors: DataFrame, item_factors: DataFrame,
-                       popular: DataFrame, n: int = 10, seen: DataFrame | None = None) -> DataFrame:
-    """M9 + M14: known users get top-n by p_u·q_i (seen excluded); unknown users
-    get the popular list.  Result: userId, movieId, score, rank, strategy."""
+                       popular: DataFrame, n: int = 10, seen: DataFrame | None = None,
+                       candidates: DataFrame | None = None) -> DataFrame:
+    """M9 + M14: known users get top-n by p_u·q_i (seen excluded, only
+    ``candidates`` when given); unknown users get the popular list.  Result: userId, movieId, score, rank, strategy."""
     req = users.select("userId").distinct()
+    if candidates is not None:
+        item_factors = item_factors.join(candidates.select("movieId"), "movieId", "left_semi")
     known = req.join(user_factors.select("userId", "features"), "userId")
     cf = block_topk(known, item_factors.select("movieId", "features"), n, left_id="userId",
                     right_id="movieId", exclude=seen, score_name="score")

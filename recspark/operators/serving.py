@@ -11,12 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recspark.functions.hashing import ab_group
-from recspark.operators import scoring
+from recspark.operators import ema, scoring
 
 EMA_ALPHA = 0.1
-# 0.9**7100 is below the smallest positive double, so an EMA over a longer log
-# depends only on its last 7100 updates (exactly, in double precision).
-EMA_WINDOW = 7100
 
 
 def serve_batch(requests: DataFrame, user_factors: DataFrame, item_factors: DataFrame,
@@ -83,33 +80,21 @@ def request_metrics(classified: DataFrame, by=()) -> DataFrame:
         .alias("error_rate"))
 
 
-def latency_ema(classified: DataFrame, alpha: float = EMA_ALPHA,
-                window: int = EMA_WINDOW) -> DataFrame:
+def latency_ema(classified: DataFrame, alpha: float = EMA_ALPHA) -> DataFrame:
     """Exponential moving average of latency over successful misses in
-    (ts, event_id) order, seeded by the first update (while the average is 0).
+    (ts, event_id) order, seeded by the first update while the average is 0.
+    Every update counts: range partitions are folded to affine maps which are
+    composed in order (``operators.ema``)."""
+    n, value = ema.compose(ema.fold_parts(classified.filter(F.col("latency_update")), alpha))
+    return classified.sparkSession.range(1).select(
+        F.lit(float(value)).alias("avg_latency_ms"), F.lit(int(n)).cast("bigint").alias("n_updates"))
 
-    Only the last ``window`` updates can influence the result in double
-    precision, so they are taken with a bounded top-k and folded with a JVM
-    higher-order function on one row of at most ``window`` elements.
-    """
-    upd = classified.filter(F.col("latency_update"))
-    n_updates = upd.count()  # scalar
-    tail = (upd.select("ts", "event_id", F.col("latency_ms").cast("double").alias("lat"))
-            .orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(int(window)))
-    folded = tail.agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "lat"))).alias("_xs"))
-    ema = F.aggregate(
-        "_xs", F.lit(0.0),
-        lambda acc, x: F.when(acc == 0, x["lat"]).otherwise(
-            F.lit(alpha) * x["lat"] + F.lit(1 - alpha) * acc))
-    return folded.select(F.coalesce(ema, F.lit(0.0)).alias("avg_latency_ms"),
-                         F.lit(int(n_updates)).cast("bigint").alias("n_updates"))
-
-
-def health_status(metrics: DataFrame, ema: DataFrame, model_loaded: bool = True,
+
+def health_status(metrics: DataFrame, latency: DataFrame, model_loaded: bool = True,
                   max_error_rate: float = 0.05, max_latency_ms: float = 100.0) -> DataFrame:
     """V4: healthy iff a model is loaded, error rate < 5 % and the latency
     average < 100 ms (zero requests: rates are 0)."""
-    lat = ema.first()["avg_latency_ms"]
+    lat = latency.first()["avg_latency_ms"]
     healthy = (F.lit(bool(model_loaded)) & (F.col("error_rate") < max_error_rate)
                & (F.lit(float(lat)) < max_latency_ms))
     return metrics.select(

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recspark import schemas
+from recspark.session import path_exists
 
 
 class ExperimentTracker:
@@ -101,11 +102,16 @@ class ExperimentTracker:
 
     def log_results(self, results: DataFrame, name_col: str, param_cols: list[str],
                     metric_cols: list[str], status: str = "FINISHED") -> None:
-        """Log every row of ``results`` as one finished run (run_id = md5 of
-        experiment and run name)."""
+        """Log every row of ``results`` as one finished run.  run_id is the md5
+        of experiment and run name, and of the number of earlier runs of that
+        name when there are some, so logging again makes new runs."""
         now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-        base = results.withColumn("run_id", F.md5(F.concat_ws("_", F.lit(self.experiment),
-                                                              F.col(name_col).cast("string"))))
+        run = F.concat_ws("_", F.lit(self.experiment), F.col(name_col).cast("string"))
+        base = results.withColumn("run_id", F.md5(run))
+        if path_exists(self.spark, f"{self.root}/runs"):
+            earlier = self.table("runs").groupBy(F.col("run_name").cast("string").alias("_name")).agg(F.count("*").alias("_k"))
+            base = (results.join(earlier, F.col(name_col).cast("string") == F.col("_name"), "left")
+                    .withColumn("run_id", F.md5(F.concat_ws("_", run, F.col("_k").cast("string")))).drop("_name", "_k"))
         base.select("run_id", F.col(name_col).alias("run_name"), F.lit(now).cast("timestamp_ntz")
                     .alias("start_time"), F.lit(status).alias("status")) \
             .write.mode("append").parquet(f"{self.root}/runs")
@@ -153,7 +159,7 @@ def latest_metrics(run_metrics: DataFrame) -> DataFrame:
 def runs_wide(runs: DataFrame, run_params: DataFrame, run_metrics: DataFrame) -> DataFrame:
     """One row per run: run_name, metric_<key> and param_<key> columns."""
     m = latest_metrics(run_metrics).withColumn("key", F.concat(F.lit("metric_"), "key"))
-    p = run_params.groupBy("run_id", "key").agg(F.last("value").alias("value")) \
+    p = run_params.groupBy("run_id", "key").agg(F.max("value").alias("value")) \
         .withColumn("key", F.concat(F.lit("param_"), "key"))
     mw = m.groupBy("run_id").pivot("key").agg(F.first("value"))
     pw = p.groupBy("run_id").pivot("key").agg(F.first("value"))
@@ -175,7 +181,10 @@ def best_run(runs: DataFrame, run_params: DataFrame, run_metrics: DataFrame,
     (run_name defaults to 'unknown')."""
     lm = latest_metrics(run_metrics)
     target = lm.filter(F.col("key") == metric_name).join(runs.select("run_id", "run_name"), "run_id")
-    order = F.col("value").asc_nulls_last() if ascending else F.col("value").desc_nulls_last()
+    if target.limit(1).count() == 0:
+        raise ValueError(f"metric {metric_name!r} was never logged")
+    value = F.when(~F.isnan("value"), F.col("value"))  # a NaN metric is no best value
+    order = value.asc_nulls_last() if ascending else value.desc_nulls_last()
     best = target.orderBy(order, F.col("run_name")).limit(1).select("run_id", "run_name")
     params = run_params.join(best, "run_id").select(
         F.coalesce("run_name", F.lit("unknown")).alias("run_name"), F.lit("param").alias("kind"),

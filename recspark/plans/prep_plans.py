@@ -285,11 +285,14 @@ def cold_start_items(spark, sf):
 
 def _hist_sql(source: str, col: str, bins: int) -> str:
     return f"""
-SELECT bin, lo + (bin - 1) * ((hi - lo) / {bins}.0e0) AS bin_lo, lo + bin * ((hi - lo) / {bins}.0e0) AS bin_hi,
-       count(*) AS n
-FROM (SELECT least({bins}, floor((cast({col} AS DOUBLE) - lo) / (hi - lo) * {bins}.0e0) + 1)::BIGINT AS bin, lo, hi
+SELECT a.bin, lo + (a.bin - 1) * ((hi - lo) / {bins}.0e0) AS bin_lo, lo + a.bin * ((hi - lo) / {bins}.0e0) AS bin_hi,
+       count(b.bin) AS n
+FROM (SELECT unnest(range(1, {bins} + 1)) AS bin) a
+CROSS JOIN (SELECT min(cast({col} AS DOUBLE)) AS lo, max(cast({col} AS DOUBLE)) AS hi FROM {source}) k
+LEFT JOIN (SELECT least({bins}, floor((cast({col} AS DOUBLE) - lo) / (hi - lo) * {bins}.0e0) + 1)::BIGINT AS bin
       FROM {source}, (SELECT min(cast({col} AS DOUBLE)) AS lo, max(cast({col} AS DOUBLE)) AS hi FROM {source}) k) b
-GROUP BY bin, lo, hi"""
+ON a.bin = b.bin
+GROUP BY a.bin, lo, hi"""
 
 
 @register("rating_histogram", _hist_sql("ratings", "rating", 10), R,

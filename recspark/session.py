@@ -67,6 +67,12 @@ def write_shared_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the cluster's Hadoop file system has ``path``."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``recspark`` importable in the Python workers (pandas UDFs and
     grouped-map functions live in its modules), as ``--py-files`` would.

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recspark import schemas
 
@@ -48,13 +49,13 @@ def write_splits(split_df: DataFrame, path: str, fmt: str = "parquet",
 
 
 def read_splits(spark: SparkSession, path: str, split: str | None = None,
-                fmt: str = "parquet") -> DataFrame:
-    """Read back the split dataset; ``split`` filters by partition pruning."""
-    if fmt == "csv":
-        schema = schemas.RATINGS.add("split", "string")
-        df = spark.read.schema(schema).option("header", True).csv(path)
-    else:
-        df = spark.read.format(fmt).load(path)
+                fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
+    """Read back the split dataset; ``split`` filters by partition pruning.
+    ``schema`` names the columns that were written (ratings by default)."""
+    fields = (schema or schemas.RATINGS).fields
+    schema = T.StructType([f for f in fields if f.name != "split"] + [T.StructField("split", T.StringType())])
+    reader = spark.read.schema(schema)
+    df = reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
     return df.filter(F.col("split") == split) if split else df
 
 

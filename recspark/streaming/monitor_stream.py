@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from recspark import schemas
+from recspark.operators import ema
+from recspark.session import path_exists
 
 BATCH_OUT = T.StructType([
     T.StructField("model_id", T.LongType()), T.StructField("batch", T.LongType()),
@@ -199,34 +201,34 @@ def latest_windows(updates: DataFrame) -> DataFrame:
 
 EMA_OUT = T.StructType([T.StructField("n_updates", T.LongType()),
                         T.StructField("avg_latency_ms", T.DoubleType())])
-EMA_STATE = T.StructType([T.StructField("n_updates", T.LongType()),
-                          T.StructField("ema", T.DoubleType())])
-
-
-def _ema_fn(alpha: float):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-        n, ema = state.get if state.exists else (0, 0.0)
-        for x in pdf["latency_ms"].to_numpy(dtype=np.float64):
-            ema = x if ema == 0 else alpha * x + (1 - alpha) * ema
-            n += 1
-        state.update((int(n), float(ema)))
-        yield pd.DataFrame({"n_updates": [int(n)], "avg_latency_ms": [float(ema)]})
-
-    return fn
 
 
 def latency_ema_stream(spark: SparkSession, classified_dir: str, sink_dir: str, checkpoint: str,
                        alpha: float = 0.1) -> DataFrame:
-    """T2 part 3: latency EMA over successful misses, one O(1) state; each
-    micro-batch appends the running value; the last row is the current EMA."""
+    """T2 part 3: latency EMA over successful misses.  Each micro-batch is
+    folded by range partitions and composed with the state of the batch before;
+    its state is one row under ``batch_id=<n>``, overwritten when a batch is
+    run again, so a replay does not count twice.  Returns the last state."""
     feed = spark.readStream.schema(CLASSIFIED_OUT).parquet(classified_dir)
-    upd = feed.filter(F.col("latency_update")).withColumn("_k", F.lit(0))
-    out = upd.groupBy("_k").applyInPandasWithState(
-        _ema_fn(alpha), EMA_OUT, EMA_STATE, "append", GroupStateTimeout.NoTimeout)
-    q = (out.writeStream.format("parquet").option("path", sink_dir)
-         .option("checkpointLocation", checkpoint).outputMode("append")
-         .trigger(availableNow=True).start())
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        before = _ema_states(spark, sink_dir).filter(F.col("batch_id") < batch_id)
+        last = before.orderBy(F.col("batch_id").desc()).first()
+        state = (last["n_updates"], last["avg_latency_ms"]) if last else (0, 0.0)
+        n, value = ema.compose(ema.fold_parts(batch, alpha), state)
+        spark.range(1).select(F.lit(int(n)).cast("bigint").alias("n_updates"), F.lit(float(value)).alias("avg_latency_ms")) \
+            .write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
+
+    q = (feed.filter(F.col("latency_update")).writeStream.foreachBatch(step)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    res = spark.read.schema(EMA_OUT).parquet(sink_dir)
-    return res.orderBy(F.col("n_updates").desc()).limit(1)
+    return (_ema_states(spark, sink_dir).orderBy(F.col("batch_id").desc()).limit(1)
+            .select("n_updates", "avg_latency_ms"))
+
+
+def _ema_states(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """(n_updates, avg_latency_ms, batch_id), empty before the first batch."""
+    schema = T.StructType([*EMA_OUT.fields, T.StructField("batch_id", T.LongType())])
+    if not path_exists(spark, sink_dir):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(sink_dir)
