@@ -156,13 +156,14 @@ def _factors(model, umap, imap, bias_users: DataFrame | None, bias_items: DataFr
 
 def fit_explicit(train: DataFrame, rank: int = 50, max_iter: int = 10, reg: float = 0.1,
                  reg_user: float = 15.0, reg_item: float = 10.0, sweeps: int = 3,
-                 seed: int = 42, blocks: int | None = None) -> FactorModel:
-    """M4: biased matrix factorisation (biases by sweeps, then ALS on residuals)."""
+                 seed: int = 42, blocks: int | None = None, biases: tuple | None = None) -> FactorModel:
+    """M4: biased matrix factorisation (biases by sweeps, then ALS on residuals).
+    ``biases`` is what ``fit_biases`` gave for the same settings, if it ran."""
     spark = train.sparkSession
     checkpoint_dir(spark)  # ALS checkpoints its factor RDDs there
     umap, imap = _int_id_maps(train)
     t0 = time.time()
-    mu, bu, bi = fit_biases(train, reg_user, reg_item, sweeps)
+    mu, bu, bi = biases or fit_biases(train, reg_user, reg_item, sweeps)
     resid = (train.join(bu.withColumnRenamed("bias", "_bu"), "userId", "left")
              .join(bi.withColumnRenamed("bias", "_bi"), "movieId", "left")
              .select("userId", "movieId",

@@ -135,15 +135,23 @@ def with_titles(recs: DataFrame, movies: DataFrame) -> DataFrame:
     return recs.join(movies.select("movieId", "title", "genres"), "movieId", "left")
 
 
-def blend_scores(explicit: DataFrame, implicit: DataFrame, n: int = 10,
-                 w_explicit: float = 0.6, w_implicit: float = 0.4) -> DataFrame:
-    """Weighted blend of two scored candidate tables (userId, movieId,
-    predicted_rating) and (userId, movieId, score); pairs missing on one side
-    take 0 for it.  Top n per user by the blend."""
-    j = explicit.select("userId", "movieId", "predicted_rating").join(
-        implicit.select("userId", "movieId", "score"), ["userId", "movieId"], "full")
-    blended = j.withColumn("blend", F.lit(w_explicit) * F.coalesce("predicted_rating", F.lit(0.0))
-                           + F.lit(w_implicit) * F.coalesce("score", F.lit(0.0)))
-    w = Window.partitionBy("userId").orderBy(F.round("blend", 6).desc(), F.col("movieId"))
-    return (blended.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
-            .select("userId", "movieId", "blend", F.col("rank").cast("bigint")))
+def blend_topn(users: DataFrame, explicit: tuple[DataFrame, DataFrame, float], implicit: tuple[DataFrame, DataFrame],
+               n: int = 10, w_explicit: float = 0.6, w_implicit: float = 0.4, seen: DataFrame | None = None) -> DataFrame:
+    """Top n per user by the weighted blend of the explicit prediction
+    (clipped to 0.5 .. 5) and the implicit score (clipped to 0 .. 5).
+
+    Both models are scored inside the blocked kernel over every item that both
+    know, so no item is lost to a cut of either list.  ``explicit`` is (user
+    factors, item factors, mean), ``implicit`` (user factors, item factors);
+    users without factors of both models have no blend.
+    Result: userId, movieId, blend, rank."""
+    (ue, ie, mu), (ui, ii) = explicit, implicit
+    width = ie.select(F.size("features").alias("w")).first()
+    both = lambda a, b, key: a.select(key, "bias", F.col("features").alias("_f")).join(
+        b.select(key, F.col("features").alias("_g")), key).select(key, "bias", F.concat("_f", "_g").alias("features"))
+    left = both(ue, ui, "userId").join(users.select("userId").distinct(), "userId", "left_semi")
+    return block_topk(left, both(ie, ii, "movieId"), n, left_id="userId", right_id="movieId", left_bias="bias",
+                      right_bias="bias", offset=float(mu), lo=0.5, hi=5.0, exclude=seen, score_name="blend",
+                      blend={"width": int(width["w"]) if width else 0, "first": w_explicit, "second": w_implicit,
+                             "lo": 0.0, "hi": 5.0})
+

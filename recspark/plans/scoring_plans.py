@@ -159,37 +159,17 @@ def recs_with_titles(spark, sf):
     return scoring.with_titles(recs, movies_view(spark, sf))
 
 
-_IMP_TOP = f"""
-SELECT userId, movieId FROM (
-  SELECT uf.userId, i.movieId,
-         row_number() OVER (PARTITION BY uf.userId
-           ORDER BY round({DOT.format(a='uf.features', b='i.features')}, 6) DESC, i.movieId) AS rank
-  FROM user_factors uf CROSS JOIN item_factors i) t WHERE rank <= 20"""
-
 
 @register("blend_scores", f"""
-WITH cand AS (
-  SELECT userId, movieId FROM ({_topn_sql("", 20, "(SELECT userId FROM user_factors)")}) e
-  UNION SELECT userId, movieId FROM ({_IMP_TOP}) i),
-scored AS (
-  SELECT c.userId, c.movieId,
-         0.6 * greatest(0.5, least(5.0, (SELECT mu FROM mu) + coalesce(uf.bias, 0) + coalesce(i.bias, 0)
-                + coalesce({DOT.format(a='uf.features', b='i.features')}, 0)))
-         + 0.4 * greatest(0.0, least(5.0, {DOT.format(a='uf.features', b='i.features')})) AS blend
-  FROM cand c JOIN user_factors uf ON c.userId = uf.userId JOIN item_factors i ON c.movieId = i.movieId)
 SELECT userId, movieId, blend, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY userId ORDER BY round(blend, 6) DESC, movieId) AS rank FROM scored) t
+  SELECT *, row_number() OVER (PARTITION BY userId ORDER BY round(blend, 6) DESC, movieId) AS rank
+  FROM (SELECT uf.userId, i.movieId,
+               0.6e0 * greatest(0.5, least(5.0, (SELECT mu FROM mu) + coalesce(uf.bias, 0) + coalesce(i.bias, 0)
+                      + {DOT.format(a='uf.features', b='i.features')}))
+               + 0.4e0 * greatest(0.0, least(5.0, {DOT.format(a='uf.features', b='i.features')})) AS blend
+        FROM user_factors uf CROSS JOIN item_factors i) s) t
 WHERE rank <= 10""", V, round_cols=["blend"], bigint_cols=["rank"])
 def blend_scores(spark, sf):
-    """0.6 x explicit + 0.4 x implicit over both models' top-20 candidates, top-10."""
-    from recspark.operators.blocks import block_topk
-
+    """0.6 x explicit + 0.4 x implicit over the whole catalogue, top-10."""
     ratings, uf, itf = _factors(spark, sf)
-    mu = global_mean(ratings)
-    exp_top = scoring.recommend_explicit(uf.select("userId"), uf, itf, mu, 20)
-    imp_top = block_topk(uf.select("userId", "features"), itf.select("movieId", "features"), 20,
-                         left_id="userId", right_id="movieId")
-    cands = exp_top.select("userId", "movieId").union(imp_top.select("userId", "movieId")).distinct()
-    e = scoring.predict_explicit(cands, uf, itf, mu)
-    i = scoring.predict_implicit(cands, uf, itf)
-    return scoring.blend_scores(e, i, 10)
+    return scoring.blend_topn(uf.select("userId"), (uf, itf, global_mean(ratings)), (uf, itf), 10)

@@ -105,7 +105,7 @@ def _degradation_fn(baseline: dict | float | None, batch_size: int, threshold: f
 
 def degradation_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
                        baseline: dict | float | None = 1.1, batch_size: int = 100,
-                       threshold: float = 0.1, max_files_per_trigger: int | None = None) -> DataFrame:
+                       threshold: float = 0.1, max_files_per_trigger: int | None = 16) -> DataFrame:
     """Run the stream over ``source_dir`` (prediction-log parquet) until all
     available files are processed; return the batch table written to ``sink_dir``.
 
@@ -149,7 +149,7 @@ def _classify_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
 
 
 def request_classification_stream(spark: SparkSession, source_dir: str, sink_dir: str,
-                                  checkpoint: str, max_files_per_trigger: int | None = None) -> DataFrame:
+                                  checkpoint: str, max_files_per_trigger: int | None = 16) -> DataFrame:
     """T2 part 1: classify a request-log stream into hits / misses / errors."""
     reader = spark.readStream.schema(schemas.REQUEST_LOG)
     if max_files_per_trigger:
