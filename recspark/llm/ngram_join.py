@@ -46,7 +46,7 @@ WORDS = 5
 NUM, DEN = 80, 100
 SKETCH_WORDS = 8
 #: hash ranges of a set, sorts by them, following rows compared in a sort, and partners verified
-RANGES, SORTS, AHEAD, PARTNERS = 16, 4, 3, 3
+RANGES, SORTS, AHEAD, PARTNERS = 16, 4, 64, 2
 MEMBERS = 200
 #: shingles counted per chunk, least count in a chunk to be reported, most that are put last
 CHUNK, CHUNK_LEAST, HOT = 2_000_000, 3, 100_000
@@ -266,8 +266,9 @@ def _labels(sets: DataFrame, links: DataFrame | None, name: str) -> DataFrame:
 
 
 def near_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b): for every node b up to ``PARTNERS`` nodes a that stand close to
-    it in a sort and pass the size and sketch filters, nearest sketches first.
+    """(a, b), a < b: for every node up to ``PARTNERS`` others that stand within
+    ``AHEAD`` places of it in a sort and pass the size and sketch filters, those
+    with the nearest sketches.
 
     The sorts are range-partitioned by all digits, so a large family is spread
     over many tasks; a pair across the border of two is left to step 3."""
@@ -286,25 +287,38 @@ def near_pairs(nodes: DataFrame) -> DataFrame:
             sk = b.column("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH_WORDS)
             if tail is not None:
                 row, n, s, sk = (np.concatenate([x, y]) for x, y in zip(tail, (row, n, s, sk)))
-            old = 0 if tail is None else len(tail[0])
-            found = []
-            for d in range(1, AHEAD + 1):
-                i = np.arange(max(0, old - d), len(row) - d)
+            old, m = (0 if tail is None else len(tail[0])), len(row)
+            # how far row i is from the one d places on, if the filters let the pair pass
+            far = np.iinfo(np.int32).max
+            ahead = np.full((m, AHEAD), far, np.int32)
+            for d in range(1, min(AHEAD, m - 1) + 1):
+                i = np.arange(max(0, old - d), m - d)  # pairs of two old rows were seen before
                 j = i + d
-                differ = np.bitwise_count(sk[i] ^ sk[j]).sum(axis=1)
+                differ = np.bitwise_count(sk[i] ^ sk[j]).sum(axis=1, dtype=np.int32)
                 na, nb = n[i], n[j]
                 need = -(-NUM * (na + nb) // (NUM + DEN))
                 ok = (s[i] == s[j]) & (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb)) & (differ <= na + nb - 2 * need)
-                found.append((row[i][ok], row[j][ok], differ[ok]))
+                ahead[i, d - 1] = np.where(ok, differ, far)
+            behind = np.full((m, AHEAD), far, np.int32)
+            for d in range(1, min(AHEAD, m - 1) + 1):
+                behind[d:, d - 1] = ahead[:m - d, d - 1]
+            found = []
+            for table, sign in ((ahead, 1), (behind, -1)):
+                k = np.argsort(table, axis=1, kind="stable")[:, :PARTNERS]
+                i, c = np.nonzero(np.take_along_axis(table, k, axis=1) < far)
+                j = i + sign * (k[i, c] + 1)
+                found.append((row[i], row[j], table[i, k[i, c]]))
             x, y, d = (np.concatenate(f) for f in zip(*found))
-            yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(d.astype(np.int64))],
-                                  names=["a", "b", "d"])
+            # both ends may want the pair
+            yield pa.record_batch([pa.array(np.concatenate([x, y])), pa.array(np.concatenate([y, x])),
+                                   pa.array(np.concatenate([d, d]).astype(np.int64))], names=["a", "b", "d"])
             tail = tuple(x[-AHEAD:] for x in (row, n, s, sk))
 
     near = arrow_rows(rows, work, "a long, b long, d long").distinct()
-    # at most SORTS * 2 * AHEAD partners in a list
+    # at most a few partners from each place in each sort
     best = near.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "a"))), 1, PARTNERS).alias("_m"))
-    return best.select("b", F.explode("_m").alias("_m")).select(F.col("_m.a").alias("a"), "b")
+    best = best.select("b", F.explode("_m").alias("_m")).select(F.col("_m.a").alias("a"), "b")
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _fitting(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -332,11 +346,11 @@ def group_pairs(groups: DataFrame) -> DataFrame:
     early = n - pos >= _least_overlap(n, n)
     across = stored(rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(early).alias("early"))
                     .where("lo <> hi AND early").select(F.col("token").alias("_t")), "shared-shingles")
-    size_class = F.floor(F.log(n.cast("double")) / F.log(F.lit(DEN / NUM))).cast("int")
+    # classes are a little wider than the largest ratio of linked sizes, so these are at most one class apart
+    size_class = F.floor(F.log(n.cast("double")) / F.log(F.lit(1.01 * DEN / NUM))).cast("int")
     met = stored(rows.join(small(across, BROADCAST_SHINGLES), F.col("token") == F.col("_t")).drop("_t")
                  .withColumns({"class": size_class, "early": early}), "shared-rows")
-    # two classes on, too, against the rounding of a size at the edge of its class
-    smaller = met.where("early").withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1, F.col("class") + 2)))
+    smaller = met.where("early").withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1)))
     keys = ["token", "class"]
     of_a = smaller.select(*keys, F.col("comp").alias("ca")).distinct()
     of_b = met.select(*keys, F.col("comp").alias("cb")).distinct()
