@@ -1,8 +1,7 @@
 """Distribution functions for the A/B operators.
 
 scipy is not available, so the Student-t tail and quantile are computed from
-the regularised incomplete beta function (continued fraction, modified Lentz
-method) and bisection; the normal quantile comes from ``statistics``.
+the regularised incomplete beta function (continued fraction) and bisection; the normal quantile comes from ``statistics``.
 These run on one row per test (a pandas UDF over a handful of rows), after
 Spark has aggregated the moments.
 """
@@ -17,30 +16,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _betacf(a: float, b: float, x: float) -> float:
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 400):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < 1e-15:
-            break
-    return h
+def _beta_coefficients(a: float, b: float, x: float):
+    """Partial numerators of the continued fraction of the incomplete beta
+    function: 1 / (1 + d1 / (1 + d2 / (1 + ...)))."""
+    k = 0
+    while True:
+        yield -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1))
+        k += 1
+        yield k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k))
+
+
+def _continued_fraction(numerators, terms: int = 800, tol: float = 1e-15) -> float:
+    """1 / (1 + n1 / (1 + n2 / ...)) from the ratio of successive convergents
+    of numerators P and denominators Q, rescaled as they grow."""
+    p0, p1, q0, q1, value = 0.0, 1.0, 1.0, 1.0, 1.0
+    for _, n in zip(range(terms), numerators):
+        p0, p1 = p1, p1 + n * p0
+        q0, q1 = q1, q1 + n * q0
+        if q1 != 0.0:
+            p0, p1, q0, q1 = p0 / q1, p1 / q1, q0 / q1, 1.0
+            if abs(p1 - value) <= tol * abs(p1):
+                return p1
+            value = p1
+    return value
 
 
 def betainc(a: float, b: float, x: float) -> float:
@@ -52,8 +50,8 @@ def betainc(a: float, b: float, x: float) -> float:
     lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
     front = math.exp(lbeta + a * math.log(x) + b * math.log1p(-x))
     if x < (a + 1.0) / (a + b + 2.0):
-        return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
+        return front * _continued_fraction(_beta_coefficients(a, b, x)) / a
+    return 1.0 - front * _continued_fraction(_beta_coefficients(b, a, 1.0 - x)) / b
 
 
 def t_two_sided_p(t: float, df: float) -> float:

@@ -47,5 +47,6 @@ def degradation_alerts(batches: DataFrame) -> DataFrame:
         "model_id", "batch", F.col("batch_end_ts").alias("timestamp"), F.lit("MAE").alias("metric"),
         F.col("baseline_mae").alias("baseline"), F.col("batch_mae").alias("current"),
         "degradation_pct",
+        # fixed output: the alert text
         F.format_string("Model degradation detected! MAE increased by %.1f%%",
                         F.col("degradation_pct")).alias("message"))

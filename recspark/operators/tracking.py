@@ -198,13 +198,15 @@ def best_run(runs: DataFrame, run_params: DataFrame, run_metrics: DataFrame,
 def track_model_training(tracker: ExperimentTracker, run_name: str, fit, train: DataFrame,
                          val: DataFrame, test: DataFrame, algorithm_name: str,
                          hyperparams: dict) -> dict:
-    """Log params and sizes, fit, score val and test in full, log metrics,
-    return the comparison row (algorithm, val/test rmse and mae, time)."""
+    """Log the algorithm, params and sizes, fit, score val and test in full,
+    log metrics, the model and a results artifact, return the comparison row
+    (algorithm, val/test rmse and mae, time)."""
     from recspark.operators.metrics import accuracy
 
     tracker.start_run(run_name, {"algorithm": algorithm_name})
     sizes = train.agg(F.count(F.lit(1)), F.countDistinct("userId"), F.countDistinct("movieId")).first()
-    tracker.log_params({**hyperparams, "train_size": sizes[0], "n_users": sizes[1], "n_items": sizes[2]})
+    tracker.log_params({**hyperparams, "algorithm": algorithm_name, "train_size": sizes[0], "n_users": sizes[1],
+                        "n_items": sizes[2], "val_size": val.count(), "test_size": test.count()})
     t0 = time.time()
     model = fit(train, **hyperparams)
     training_time = time.time() - t0
@@ -216,6 +218,8 @@ def track_model_training(tracker: ExperimentTracker, run_name: str, fit, train:
         acc = accuracy(scored, "rating", pcol).first()
         out[f"{name}_rmse"], out[f"{name}_mae"] = acc["rmse"], acc["mae"]
     tracker.log_metrics({k: v for k, v in out.items() if k != "algorithm"})
+    tracker.log_model(model)
+    tracker.log_dict(out, "results.json")
     tracker.end_run()
     return out
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 _RUNTIME_CONF = {
@@ -107,15 +108,15 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def get_spark(master: str | None = None, app: str = "recspark",
               shuffle_partitions: int | None = None) -> SparkSession:
-    """Build (or reuse) a session; the master defaults to local[$BENCH_CPUS or *]."""
-    master = master or f"local[{os.environ.get('BENCH_CPUS', '*')}]"
-    builder = (
-        SparkSession.builder.master(master).appName(app)
-        .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", os.environ.get("RECSPARK_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
-        .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
-    )
+    """Build (or reuse) a session.  A master and a partition count that were
+    submitted stay; only without a master it is local[$BENCH_CPUS or *]."""
+    submitted = SparkConf()
+    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    if master or not submitted.contains("spark.master"):
+        builder = (builder.master(master or f"local[{os.environ.get('BENCH_CPUS', '*')}]")
+                   .config("spark.driver.memory", os.environ.get("RECSPARK_DRIVER_MEMORY", "16g")))
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in _RUNTIME_CONF.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
