@@ -39,7 +39,7 @@ SAMPLE, FEATURES, CANDIDATES = 20_000, 512, 50_000
 LEAST_TEXTS, PREFIXES = 3, (4, 5, 6)
 BEAM = 32
 _ALPHABET = 27  # a-z and everything else
-_KNOWN = 300_000
+_KNOWN = 500_000
 
 # fixed values: letters that a sign stands for in disguised words
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -239,7 +239,9 @@ def fit(docs: DataFrame, labels: DataFrame, model) -> tuple[dict[str, int], np.n
         share = n[1] / (n[0] + n[1])
         return {}, np.array([math.log(share / (1 - share))])
     shared = spark.sparkContext.broadcast(chosen)
-    sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    # ids are chosen first, so that no texts are gathered to choose among them
+    ids = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("doc_id")
+    sample = marked.join(F.broadcast(ids), "doc_id")
 
     def work(batches):
         import pyarrow as pa
@@ -249,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, model) -> tuple[dict[str, int], np.n
             rows = [sorted(feats.of(t)) for t in b.column("text").to_pylist()]
             yield pa.record_batch([pa.array(rows, pa.list_(pa.int64())), b.column("toxic").cast(pa.int64())], names=["f", "y"])
 
-    rows = arrow_rows(sample.select("text", "toxic").repartition(spark.sparkContext.defaultParallelism), work,
+    rows = arrow_rows(sample.select("text", "toxic"), work,
                       "f array<long>, y long").collect()  # at most SAMPLE rows of at most FEATURES numbers
     return chosen, _logistic([r["f"] for r in rows], np.array([r["y"] for r in rows], float), len(chosen))
 
