@@ -18,13 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recspark.llm.common import ascii_lower, stored
+from recspark.llm.common import ascii_lower, small, stored
 
 WINDOW = 13
 #: contaminated: 100 * hit words >= MIN_HIT_PCT * words
 MIN_HIT_PCT = 5
 #: largest set that is broadcast; windows are about 100 bytes each
 BROADCAST_WINDOWS = 500_000
+#: most documents with hits that are broadcast to the texts
+BROADCAST_DOCS = 200_000
 
 _SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -126,6 +128,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.col("contaminated").alias("_bad"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), F.col("doc_id").alias("_id"),
                        F.xxhash64("text").alias("_th"))
+    bad = small(stored(bad, "hit-documents"), BROADCAST_DOCS)
     out = rows.join(bad, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
     out = out.where(~F.coalesce("_bad", F.lit(False)))
     text = F.col("_row")["text"]

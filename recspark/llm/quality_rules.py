@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recspark.llm.common import SPACE_RE, space_words
+from recspark.llm.common import SPACE_RE, small, space_words, stored
 
 MIN_WORDS = 20
 MAX_REPEAT_PCT = 30
@@ -27,6 +27,8 @@ WINDOW = 8
 MAX_DOCS_PER_HOST = 20
 MIN_LEFT_PCT = 30
 MIN_LEFT_WORDS = 10
+#: most documents with removed lines that are broadcast to the texts
+BROADCAST_DOCS = 200_000
 
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 
@@ -98,9 +100,9 @@ def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST) -> DataFr
             .agg(F.sum("_n").alias("removed_words"), F.collect_set("_i").alias("removed_lines")))
 
 
-def _verdict(rows: DataFrame, docs: DataFrame, max_docs: int) -> DataFrame:
+def _verdict(rows: DataFrame, cut: DataFrame) -> DataFrame:
     """Joins the removed lines to ``rows`` (with ``_th``) and adds ``kept``."""
-    cut = frequent_lines(docs, max_docs).select(
+    cut = cut.select(
         F.col("doc_id").alias("_d"), F.col("source").alias("_h"), F.col("_th").alias("_t"),
         F.col("removed_words").alias("_rw"), F.col("removed_lines").alias("_rl"))
     on = (F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_h"))
@@ -119,7 +121,7 @@ def line_rules(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST) -> DataFrame:
     """One row per document: the base metrics, ``n_removed_lines``, ``kept``."""
     docs = docs.select("doc_id", "source", "text")
     rows = base_metrics(docs.withColumn("_th", F.xxhash64("text"))).drop("text")
-    out = _verdict(rows, docs, max_docs)
+    out = _verdict(rows, frequent_lines(docs, max_docs))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       "base_failed", F.col("_kept").alias("kept"),
                       F.coalesce(F.size("_rl"), F.lit(0)).cast("bigint").alias("n_removed_lines"))
@@ -131,7 +133,9 @@ def quality_filter(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST) -> DataFr
     cols = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), "doc_id", "source", "text")
     rows = base_metrics(rows.withColumn("_th", F.xxhash64("text")))
-    out = _verdict(rows.drop("text"), docs.select("doc_id", "source", "text"), max_docs).where("_kept")
+    # few documents lose lines: when their counted number allows it, the texts are not shuffled
+    cut = small(stored(frequent_lines(docs.select("doc_id", "source", "text"), max_docs), "cut-lines"), BROADCAST_DOCS)
+    out = _verdict(rows.drop("text"), cut).where("_kept")
     text = F.col("_row")["text"]
     cleaned = F.when(F.size("_rl") > 0, F.array_join(F.filter(
         F.split(text, "\n", -1), lambda x, i: ~F.array_contains("_rl", i)), "\n")).otherwise(text)
