@@ -352,16 +352,20 @@ def group_pairs(groups: DataFrame) -> DataFrame:
                  .withColumns({"class": size_class, "early": early}), "shared-rows")
     smaller = met.where("early").withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1)))
     keys = ["token", "class"]
-    of_a = smaller.select(*keys, F.col("comp").alias("ca")).distinct()
-    of_b = met.select(*keys, F.col("comp").alias("cb")).distinct()
+    of_a = smaller.groupBy(*keys, F.col("comp").alias("ca")).agg(F.count("*").alias("ma"))
+    of_b = met.groupBy(*keys, F.col("comp").alias("cb")).agg(F.count("*").alias("mb"))
     pairs = of_a.join(of_b, keys).where("ca <> cb")
     side = lambda rows, x: rows.select(*keys, F.col("comp").alias(f"c{x}"), F.col("row").alias(x),
                                        F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"))
-    pairs = pairs.join(side(smaller, "a"), [*keys, "ca"]).join(side(met, "b"), [*keys, "cb"])
     na, nb = F.col("na"), F.col("nb")
     need = _least_overlap(na, nb)
-    return pairs.where(((na < nb) | ((na == nb) & (F.col("a") < F.col("b")))) & _sizes_fit(na, nb) & (na - F.col("pa") >= need) & (nb - F.col("pb") >= need)
-                       ).select("a", "b").distinct()
+    fits = (((na < nb) | ((na == nb) & (F.col("a") < F.col("b")))) & _sizes_fit(na, nb)
+            & (na - F.col("pa") >= need) & (nb - F.col("pb") >= need))
+    # the component with fewer members is expanded first, the filters stand on the second join
+    on_a, on_b = [*keys, "ca"], [*keys, "cb"]
+    few_a = pairs.where("ma <= mb").join(side(smaller, "a"), on_a).join(side(met, "b"), on_b)
+    few_b = pairs.where("ma > mb").join(side(met, "b"), on_b).join(side(smaller, "a"), on_a)
+    return few_a.where(fits).select("a", "b").unionByName(few_b.where(fits).select("a", "b")).distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
