@@ -12,6 +12,11 @@ with a null ``doc_id`` or ``source`` are treated like any other value.  Exact
 copies of a text count once for a line, so copies of a good document do not
 turn its lines into boilerplate.  Extra columns of the input are ignored by
 ``line_rules`` and kept by ``quality_filter``.
+
+The limit of ``line_rules`` is the SQL's ``MAX_DOCS_PER_HOST`` at every host
+size.  ``quality_filter`` takes it as the floor of a share of the host's
+distinct texts, and words of very short lines do not count as taken from a
+document when it is judged.
 """
 
 from __future__ import annotations
@@ -25,6 +30,10 @@ MIN_WORDS = 20
 MAX_REPEAT_PCT = 30
 WINDOW = 8
 MAX_DOCS_PER_HOST = 20
+#: quality_filter: a line is above the limit in more than this share of its host's texts (MAX_DOCS_PER_HOST at least)
+MAX_SHARE_PCT = 4
+#: quality_filter: lines of fewer words are cut but do not speak for a document's depletion
+SPEAKING_WORDS = 3
 MIN_LEFT_PCT = 30
 MIN_LEFT_WORDS = 10
 #: most documents with removed lines that are broadcast to the texts
@@ -76,28 +85,41 @@ def normalised_line(line: Column) -> Column:
     return F.regexp_replace(F.lower(squeezed), "[0-9]", "0")
 
 
-def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST) -> DataFrame:
+def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, share_pct: int = 0,
+                   least_words: int = 0) -> DataFrame:
     """Lines of each document that are above the limit for its host:
     (doc_id, source, _th, removed_words, removed_lines).
 
     A line is a (host, hash) key.  Texts are counted, not rows: the first
     aggregate makes one row per (key, text), combined before the shuffle, so a
     line that every document of a hot host carries is spread over its texts.
-    The document with the smallest id keeps the line."""
+    The document with the smallest id keeps the line.  With ``share_pct`` the
+    limit is that share of the host's distinct texts, ``max_docs`` at least;
+    lines of fewer than ``least_words`` words add nothing to removed_words."""
     lines = docs.select("doc_id", "source", F.xxhash64("text").alias("_th"),
                         F.posexplode(F.split(F.col("text"), "\n", -1)).alias("_i", "_line"))
     lines = lines.where(F.col("_line").rlike(_HAS_WORD))
     lines = lines.select("doc_id", "source", "_th", "_i",
                          F.xxhash64("source", normalised_line(F.col("_line"))).alias("_lh"),
                          F.size(space_words(F.col("_line"))).alias("_n"))
-    counted = lines.groupBy("_lh", "_th").agg(F.min("doc_id").alias("_first"))
-    above = (counted.groupBy("_lh").agg(F.count("*").alias("_docs"), F.min("_first").alias("_first"))
-             .where(F.col("_docs") > max_docs).select("_lh", "_first"))
+    host = [F.first("source").alias("source")] if share_pct else []
+    counted = lines.groupBy("_lh", "_th").agg(F.min("doc_id").alias("_first"), *host)
+    above = (counted.groupBy("_lh").agg(F.count("*").alias("_docs"), F.min("_first").alias("_first"), *host)
+             .where(F.col("_docs") > max_docs))
+    if share_pct:
+        texts = docs.where(F.col("text").isNotNull()).select(F.col("source").alias("_s"), F.xxhash64("text").alias("_th"))
+        hosts = texts.distinct().groupBy("_s").agg(F.count("*").alias("_texts"))
+        # only hosts whose share is above the floor
+        hosts = small(hosts.where(share_pct * F.col("_texts") > 100 * max_docs))
+        above = above.join(hosts, F.col("source").eqNullSafe(F.col("_s")), "left").where(
+            F.col("_texts").isNull() | (100 * F.col("_docs") > share_pct * F.col("_texts")))
+    above = above.select("_lh", "_first")
     hit = lines.join(above, "_lh").where(~F.col("doc_id").eqNullSafe(F.col("_first")))
+    words = F.when(F.col("_n") >= least_words, F.col("_n")).otherwise(0) if least_words else F.col("_n")
     # repeated rows give each (document, line number) once
     return (hit.groupBy("doc_id", "source", "_th", "_i").agg(F.first("_n").alias("_n"))
             .groupBy("doc_id", "source", "_th")
-            .agg(F.sum("_n").alias("removed_words"), F.collect_set("_i").alias("removed_lines")))
+            .agg(F.sum(words).alias("removed_words"), F.collect_set("_i").alias("removed_lines")))
 
 
 def _verdict(rows: DataFrame, cut: DataFrame) -> DataFrame:
@@ -127,14 +149,15 @@ def line_rules(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST) -> DataFrame:
                       F.coalesce(F.size("_rl"), F.lit(0)).cast("bigint").alias("n_removed_lines"))
 
 
-def quality_filter(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST) -> DataFrame:
+def quality_filter(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, share_pct: int = MAX_SHARE_PCT) -> DataFrame:
     """The kept documents with the columns of ``docs``; lines above the limit
     are gone from ``text`` (and from ``n_chars`` where there is one)."""
     cols = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), "doc_id", "source", "text")
     rows = base_metrics(rows.withColumn("_th", F.xxhash64("text")))
     # few documents lose lines: when their counted number allows it, the texts are not shuffled
-    cut = small(stored(frequent_lines(docs.select("doc_id", "source", "text"), max_docs), "cut-lines"), BROADCAST_DOCS)
+    cut = frequent_lines(docs.select("doc_id", "source", "text"), max_docs, share_pct, SPEAKING_WORDS)
+    cut = small(stored(cut, "cut-lines"), BROADCAST_DOCS)
     out = _verdict(rows.drop("text"), cut).where("_kept")
     text = F.col("_row")["text"]
     cleaned = F.when(F.size("_rl") > 0, F.array_join(F.filter(

@@ -76,6 +76,24 @@ def test_lines_above_the_limit(make_docs):
     assert qr.line_rules(make_docs([])).collect() == []
 
 
+def test_hot_host_keeps_its_clean_rows(make_docs):
+    """One host of good texts: near copies and chance lines stay, boilerplate goes."""
+    # digits do not tell lines apart, so names are letters
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    body = lambda i, n: "\n".join(" ".join(f"{name(i)}x{name(j)}y{name(k)}" for k in range(12)) for j in range(n))
+    notice = "All rights reserved by the owners of this page and of all others like it here"
+    rows = [(i, body(i, 3) + ("\nthe." if i % 30 == 0 else "") + (f"\n{notice}" if i % 10 == 1 else ""), "hot")
+            for i in range(2000)]
+    rows += [(5000 + i, f"{body(5000, 4)}\nname {name(i)} of the family", "hot") for i in range(50)]
+    # a small host: one-word lines above the floor are cut, but do not speak against the document
+    rows += [(8000 + i, "\n".join([body(8000 + i, 1), *[f"word{name(k)}." for k in range(40)]]), "small") for i in range(30)]
+    got = {r["doc_id"]: r["text"] for r in qr.quality_filter(make_docs(rows)).collect()}
+    want = {d: t.replace(f"\n{notice}", "") if d != 1 else t for d, t, _ in rows if d < 8000}
+    assert {d: t for d, t in got.items() if d < 8000} == want
+    assert {d for d in got if d >= 8000} == {8000 + i for i in range(30)}
+    assert got[8000] == rows[-30][1] and got[8001] == body(8001, 1)
+
+
 def _words(text):
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
