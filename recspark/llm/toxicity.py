@@ -2,7 +2,8 @@
 
 A noisy channel restores disguised words: a character model (4-grams counted
 over all documents) and a channel (leet signs, separators between letters,
-repeated letters) span a lattice whose best path is found by Viterbi search.
+repeated letters) span a lattice whose best path is found by Viterbi search,
+with every state kept.
 Words and word beginnings, as written and as restored, are the features of a
 logistic model fitted to the labelled rows outside the held-out fold.
 
@@ -37,7 +38,10 @@ FOLDS = 5
 SAMPLE, FEATURES, CANDIDATES = 20_000, 512, 50_000
 #: distinct toxic texts that a feature must be in, lengths of word beginnings
 LEAST_TEXTS, PREFIXES = 3, (4, 5, 6)
-BEAM = 32
+#: states times moves above which a step of the search is done by numpy
+WIDE = 600
+#: states of the first, narrow search; its cost bounds the full one
+NARROW = 6
 _ALPHABET = 27  # a-z and everything else
 _KNOWN = 500_000
 
@@ -114,7 +118,8 @@ class Restorer:
     """Viterbi search for the likeliest plain word of a disguised token."""
 
     def __init__(self, model: np.ndarray):
-        self.cost = model.reshape(_ALPHABET ** 3, _ALPHABET).tolist()
+        self.table = model.reshape(_ALPHABET ** 3, _ALPHABET).astype(float)
+        self.cost, self.least = self.table.tolist(), self.table.min(axis=0).tolist()
 
     def _moves(self, ch: str, before: str) -> list[tuple[int, float]]:
         """(code or -1 for nothing, cost) of a character."""
@@ -127,23 +132,64 @@ class Restorer:
             return [(-1, COST_SEPARATOR)] + [(x, COST_WILDCARD) for x in range(1, _ALPHABET)]
         return [(-1, COST_SEPARATOR if ch in _SEPARATORS else COST_DROP)]
 
-    def __call__(self, token: str) -> str:
+    def _wide_step(self, states: dict, moves: list[tuple[int, float]]) -> dict:
+        """The step of ``__call__`` for many states at once."""
+        keys = np.fromiter(states, np.int64, len(states))
+        totals = np.array([t for t, _ in states.values()])
+        to, cost = [], []
+        for code, c in moves:
+            to.append(keys if code < 0 else keys % _ALPHABET ** 2 * _ALPHABET + code)
+            cost.append(totals + c if code < 0 else totals + c + self.table[keys % _ALPHABET ** 3, code])
+        to, cost = np.concatenate(to), np.concatenate(cost)
+        best = np.full(_ALPHABET ** 3, np.inf)
+        np.minimum.at(best, to, cost)
+        at = np.flatnonzero(cost == best[to])
+        paths, out = [p for _, p in states.values()], {}
+        for k, i, total in zip(to[at].tolist(), at.tolist(), cost[at].tolist()):
+            if k not in out:
+                code, path = moves[i // len(keys)][0], paths[i % len(keys)]
+                out[k] = (total, path if code < 0 else (code, path))
+        return out
+
+    def _search(self, moves: list[list], bound: list[float] | None) -> tuple[float, tuple | None, bool]:
+        """Cost and path of the best word, and whether states were left out.
+        Without ``bound`` only the ``NARROW`` cheapest states go on; with it all
+        but those whose cost is above ``bound`` after the character."""
         square, cube = _ALPHABET ** 2, _ALPHABET ** 3
-        beam, before = {0: (0.0, None)}, ""
-        for ch in token:
-            nxt: dict[int, tuple] = {}
-            for code, c in self._moves(ch, before):
-                for state, (total, path) in beam.items():
-                    if code < 0:
-                        key, t, p = state, total + c, path
-                    else:
-                        key, t, p = state % square * _ALPHABET + code, total + c + self.cost[state % cube][code], (code, path)
-                    if key not in nxt or t < nxt[key][0]:
-                        nxt[key] = (t, p)
-            if len(nxt) > BEAM:
-                nxt = dict(sorted(nxt.items(), key=lambda x: x[1][0])[:BEAM])
-            beam, before = nxt, ch
-        _, path = min(((t + self.cost[s][0], p) for s, (t, p) in beam.items()), key=lambda x: x[0])
+        states, cut = {0: (0.0, None)}, False
+        for at, step in enumerate(moves):
+            if len(states) * len(step) > WIDE:
+                nxt = self._wide_step(states, step)
+            else:
+                nxt = {}
+                for code, c in step:
+                    for state, (total, path) in states.items():
+                        if code < 0:
+                            key, t, p = state, total + c, path
+                        else:
+                            key, t, p = state % square * _ALPHABET + code, total + c + self.cost[state % cube][code], (code, path)
+                        if key not in nxt or t < nxt[key][0]:
+                            nxt[key] = (t, p)
+            if bound is not None:
+                most = bound[at]
+                nxt = {s: x for s, x in nxt.items() if x[0] <= most}
+            elif len(nxt) > NARROW:
+                nxt, cut = dict(sorted(nxt.items(), key=lambda x: x[1][0])[:NARROW]), True
+            states = nxt
+        return *min(((t + self.cost[s][0], p) for s, (t, p) in states.items()), key=lambda x: x[0]), cut
+
+    def __call__(self, token: str) -> str:
+        """The best path of the whole lattice.  Costs are never negative, so a
+        state whose cost plus the least cost of the rest is above that of a
+        known path (the narrow search's) is on no better one."""
+        moves = [self._moves(ch, before) for ch, before in zip(token, " " + token)]
+        total, path, cut = self._search(moves, None)
+        if cut:
+            bound, rest = [], self.least[0] - 1e-6
+            for step in reversed(moves):
+                bound.append(total - rest)
+                rest += min(c + (self.least[code] if code >= 0 else 0) for code, c in step)
+            _, path, _ = self._search(moves, bound[::-1])
         out = []
         while path:
             out.append(chr(96 + path[0]))

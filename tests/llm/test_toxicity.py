@@ -64,6 +64,47 @@ def test_viterbi_finds_the_best_path(model):
         assert r(token) == best[1]
 
 
+def _least_cost(r, token):
+    """Every state of the lattice, as one array of the last three letters."""
+    cost = r.table.reshape(27, 27, 27, 27)
+    states = np.full((27,) * 3, np.inf)
+    states[0, 0, 0] = 0
+    for i, ch in enumerate(token):
+        nxt = np.full((27,) * 3, np.inf)
+        for code, c in r._moves(ch, token[i - 1] if i else ""):
+            if code < 0:
+                nxt = np.minimum(nxt, states + c)
+            else:
+                nxt[:, :, code] = np.minimum(nxt[:, :, code], (states + c + cost[..., code]).min(axis=0))
+        states = nxt
+    return (states + cost[..., 0]).min()
+
+
+def test_search_keeps_every_state(model):
+    """Several wildcards: the word of the least cost over the whole lattice."""
+    r = toxicity.Restorer(model)
+    assert {t: r(t) for t in ("st**id", "s***id", "c**wn", "s**m")} == {
+        "st**id": "stupid", "s***id": "stupid", "c**wn": "clown", "s**m": "scum"}
+    for token in ("st**id", "s***id", "1a6b|c!d", "a*b*c*", "tion,***", "1d1*0t", "***", "|*6*1"):
+        best, word = _least_cost(r, token), r(token)
+        # the word's own cost over the token: letters by the model, signs by the channel
+        costs = {((0, 0, 0), 0): 0.0}
+        for i, ch in enumerate(token):
+            nxt = {}
+            for (last, k), t in costs.items():
+                for code, c in r._moves(ch, token[i - 1] if i else ""):
+                    if code < 0:
+                        key, v = (last, k), t + c
+                    elif k < len(word) and code == ord(word[k]) - 96:
+                        key, v = ((*last[1:], code), k + 1), t + c + r.table[last[0] * 729 + last[1] * 27 + last[2], code]
+                    else:
+                        continue
+                    nxt[key] = min(v, nxt.get(key, np.inf))
+            costs = nxt
+        got = min(t + r.table[a * 729 + b * 27 + c, 0] for ((a, b, c), k), t in costs.items() if k == len(word))
+        assert abs(got - best) < 1e-6, (token, word)
+
+
 def test_held_out_accuracy_and_disguise(spark, docs, model):
     labels = table(spark, SF, "labels")
     shared = spark.sparkContext.broadcast(model)
