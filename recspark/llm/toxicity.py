@@ -3,7 +3,8 @@
 A noisy channel restores disguised words: a character model (4-grams counted
 over all documents) and a channel (leet signs, separators between letters,
 repeated letters) span a lattice whose best path is found by Viterbi search,
-with every state kept.
+with every state kept.  Decoded are all tokens with a letter and a leet sign, a
+separator or a doubled letter, and single characters with blanks between them.
 Words and word beginnings, as written and as restored, are the features of a
 logistic model fitted to the labelled rows outside the held-out fold.
 
@@ -54,10 +55,12 @@ COST_LEET, COST_DROP_REPEAT, COST_SEPARATOR, COST_WILDCARD, COST_DROP = 0.7, 0.4
 
 _TOKEN_WORD = re.compile(r"[^\W\d_]+")
 _SIGN = re.escape("".join(LEET))
-# a letter next to a sign that may be a letter, a letter three times, single letters with separators
-_NOISY = re.compile(rf"[^\W\d_][{_SIGN}*]+[^\W\d_]|^[{_SIGN}][^\W\d_]{{2}}|[^\W\d_]{{2}}[013457@$]$|([^\W\d_])\1\1"
-                    r"|(?<!\w)\w(?:[.\-_*~]\w){3,}(?!\w)")
-_SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
+# separators at the ends of a token do not change what it decodes to ("*" does: it may be a letter)
+_ENDS = _SEPARATORS.replace("*", "")
+_LETTER = re.compile(r"[^\W\d_]")
+# a sign that may be a letter, a separator, a letter twice
+_NOISY = re.compile(rf"[{_SIGN}{re.escape(_SEPARATORS)}]|([^\W\d_])\1")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s++\S){2,}(?!\S)")
 _SAME = re.compile(r"(\S)(?: \1){2,}")
 
 
@@ -213,8 +216,9 @@ class Features:
 
     def _of_token(self, token: str) -> tuple:
         words = _TOKEN_WORD.findall(token)
-        if _NOISY.search(token):
-            words += [w for w in (self.restore(token),) if len(w) > 2]
+        inner = token.strip(_ENDS)
+        if _NOISY.search(inner) and _LETTER.search(inner):
+            words += [w for w in (self.restore(inner),) if len(w) > 2]
         found = dict.fromkeys(f for w in words for f in _word_features(w))
         if self.index is not None:
             return tuple(self.index[f] for f in found if f in self.index)
@@ -222,7 +226,7 @@ class Features:
 
     def restored_runs(self, text: str) -> list[str]:
         """Words written with spaces between their letters."""
-        return [self.restore(_SAME.sub(r"\1 \1", m.group())) for m in _SPACED.finditer(text)]
+        return [self.restore(_SAME.sub(r"\1 \1", " ".join(m.group().split()))) for m in _SPACED.finditer(text)]
 
     def of(self, text: str | None) -> set:
         if not text:

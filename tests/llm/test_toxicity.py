@@ -141,3 +141,14 @@ def test_query_covers_every_document(spark):
     sf = "/root/testdata/sf0.001"
     assert sorted(r["doc_id"] for r in op8_toxicity(spark, sf).collect()) == sorted(
         r["doc_id"] for r in table(spark, sf, "documents").select("doc_id").collect())
+
+
+def test_disguised_tokens_reach_the_search(model):
+    feats = toxicity.Features(model)
+    disguised = {"idi07": "idiot", "id107": "idiot", "1d107": "idiot", "idio+": "idiot", "(10wn": "clown", "mo.ron": "moron",
+                 "id-iot": "idiot", "m-oron": "moron", "s,c,u,m": "scum", "idioott": "idiot", "cl-o-w-n,": "clown"}
+    assert {d: w in feats.of(f"of {d} and") for d, w in disguised.items()} == dict.fromkeys(disguised, True)
+    # "worthless" is left out: the channel may drop one of two s
+    tried = [(f"{w[:i]}{sep}{w[i:]}", w) for w in sorted({*DISGUISED.values(), "stupid"} - {"worthless"}) for i in range(1, len(w)) for sep in ".-_,'~"]
+    assert [t for t, w in tried if w not in feats.of(t)] == []
+    assert "idiot" in feats.of("such: i  d\ni o\tt") and feats.restored_runs("so b a d it") == ["bad"]
