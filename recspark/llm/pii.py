@@ -52,9 +52,19 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+_IBAN_REST = re.compile(r"(?:\x20?[A-Z0-9]){11,30}")
+#: characters of an IBAN by country
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22,
+    "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15,
+    "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24,
+    "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_PHONE_LOCAL = re.compile(r"(?<![0-9+)\x20])\x20?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])")
+_PHONE_LOCAL = re.compile(r"(?<![0-9])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])")
 _WORD = re.compile(r"[a-z][a-z-]*")
 
 
@@ -87,6 +97,26 @@ def _emails(text: str):
             yield start, last
 
 
+def _ibans(text: str):
+    """Leftmost non-overlapping IBANs.  Capital words and numbers may follow
+    one, so its end is tried at the country's length, then at each border of a
+    group, longest first, until mod-97 holds; a start without one is passed."""
+    at = 0
+    while m := _IBAN_START.search(text, at):
+        at = m.end()
+        rest = _IBAN_REST.match(text, at)
+        if not rest:
+            continue
+        ends = [k for k in range(at + 11, rest.end() + 1) if text[k - 1] != " " and not (text[k:k + 1].isascii() and text[k:k + 1].isalnum())]
+        size = lambda k: k - m.start() - text.count(" ", m.start(), k)
+        usual = IBAN_LENGTH.get(m.group()[:2])
+        for k in sorted(ends, key=lambda k: (size(k) != usual, -k)):
+            if size(k) >= 15 and mod97(text[m.start():k].replace(" ", "")):
+                yield m.start(), k
+                at = k
+                break
+
+
 def proposals(text: str):
     """(kind, start, end) of every confirmed span."""
     if "@" in text:
@@ -104,16 +134,14 @@ def proposals(text: str):
         for m in _PHONE.finditer(text):
             if 10 <= sum(map(str.isdigit, m.group())) <= 15:
                 yield "phone", *m.span()
-    for m in _IBAN.finditer(text):
-        if mod97(m.group().replace(" ", "")):
-            yield "iban", *m.span()
+    for a, b in _ibans(text):
+        yield "iban", a, b
     for m in _SSN.finditer(text):
         area, group, serial = m.group().split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":
             yield "ssn", *m.span()
     for m in _PHONE_LOCAL.finditer(text):
-        start = m.start() + (text[m.start()] == " ")
-        yield "phone_local", start, m.end()
+        yield "phone_local", *m.span()
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:

@@ -67,6 +67,21 @@ def test_odd_texts(make_docs):
     assert spans[17].count("iban:") == 2 and spans[18] == "ssn:4:15" and spans[19] == ""
 
 
+def test_ibans_before_other_words_and_local_phones():
+    found = lambda t, kind: [t[a:b] for k, a, b, _ in pii.spans_of(t) if k == kind]
+    for iban, tail in [("DE89 3704 0044 0532 0130 00", " BIC COBADEFF"), ("DE89370400440532013000", " EUR"),
+                       ("GB82WEST12345698765432", " 2024"), ("DE89 3704 0044 0532 0130 00", "."), ("NO93 8601 1117 947", " NOK 5")]:
+        for head in ("", "IBAN ", "XX12 AB34 ", "AB12 "):
+            assert found(head + iban + tail, "iban") == [iban], head + iban + tail
+    assert found("GB82WEST12345698765432 DE89370400440532013000 EUR", "iban") == ["GB82WEST12345698765432", "DE89370400440532013000"]
+    assert pii.redacted("pay to DE89 3704 0044 0532 0130 00 BIC COBADEFF") == "pay to <IBAN> BIC COBADEFF"
+    assert found("DE88370400440532013000 EUR", "iban") == [] and found("DE89370400440532013000x", "iban") == []
+    for phone in ("555 123 4567", "555-123-4567", "(555) 123-4567", "555.123.4567"):
+        for head in ("call ", "call  ", "call (home) "):
+            assert found(f"{head}{phone} now", "phone_local") == [phone], head + phone
+    assert found("call 5555 123 4567", "phone_local") == [] and found("555 123 4567", "phone_local") == []
+
+
 def test_very_long_texts_take_linear_time():
     for text in ("a" * 10**6, "1" * 10**6, "1." * 10**6, "a@b." * 10**5, "+1 " * 10**5, "A1" * 10**6):
         began = time.process_time()
