@@ -400,13 +400,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: the one whose id names it."""
+    """One row of each component stays: the least id's, and of its repeated rows
+    the one with the least number.  Rows without words are components of their own."""
     cols = docs.columns
-    found = jaccard_components(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    keep = keep.select(F.col("doc_id").alias("_d"))
-    out = docs.join(small(stored(keep, "kept-ids")), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    # repeated rows of the kept id are one document
+    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = jaccard_components(numbered.select(F.col("_row").alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("_r"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
+    keep = (numbered.select("doc_id", "_row").join(found, F.col("_row") == F.col("_r"))
+            .groupBy("component_id").agg(first.alias("_k")).select("_k"))
+    out = numbered.join(small(stored(keep, "kept-rows")), F.col("_row") == F.col("_k"), "left_semi")
     return out.select(*[F.col(f"`{c}`") for c in cols])
 
 

@@ -98,6 +98,14 @@ def test_keep_one(make_docs):
     assert sorted(r["doc_id"] for r in out.collect()) == [3, 8, 9, 9]
 
 
+def test_keep_one_of_repeated_rows_and_null_ids(make_docs):
+    """One row of each component, whatever its ids are."""
+    one, two, three = "a b c d e f g", "quite other words are in here", "no one has said any of this"
+    rows = [(3, one), (3, one), (5, one), (None, two), (None, two), (7, two), (None, three), (None, three), (3, "one more text under three")]
+    got = sorted((str(r["doc_id"]), r["text"]) for r in nj.keep_one(make_docs(rows)).collect())
+    assert got == sorted([("3", one), ("7", two), ("None", three), ("3", "one more text under three")])
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(0)
     for n in (0, 1, 500, 513, 3000):
