@@ -9,7 +9,7 @@ as attention does not cross documents) with room for them.  One that fits
 nowhere is cut: a part fills the roomiest sequence, the rest is placed in its
 turn.  So only the last sequence of a group is padded.
 
-Groups are made by the number of bytes of all texts, hold a bounded number of
+Groups are made by the number of bytes of all texts and of rows, hold a bounded number of
 tokens and are independent of each other; their ids are shuffled once, full
 sequences send only their checksum.
 
@@ -104,8 +104,9 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE) -> DataFram
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset."""
     docs = docs.select("doc_id", "text")
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    groups = max(1, round(total / BYTES_PER_TOKEN / (size * GROUP_SEQUENCES)))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
+    # each row has an end id, whatever its text
+    groups = max(1, round((total["b"] / BYTES_PER_TOKEN + total["n"]) / (size * GROUP_SEQUENCES)))
     rows = token_rows(docs, tokenizer_path, groups, size)
 
     def place(key, group):

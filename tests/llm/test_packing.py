@@ -75,6 +75,11 @@ def test_nulls_repeats_and_empty_table(make_docs):
     assert packing.pack(make_docs([]), PATH).collect() == []
 
 
+def test_rows_without_text_are_spread_over_groups(make_docs):
+    rows = packing.pack(make_docs([None] * 3000), PATH, size=4).collect()
+    assert len(rows) == 3000 and len({r["sequence_id"] >> 32 for r in rows}) == 3
+
+
 def test_assign_balances_cost():
     lengths = sorted([1000] * 8 + [100] * 80, reverse=True)
     pieces = packing.assign(lengths)
