@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recspark.llm import (
     decontamination,
+    exact_dedup,
+    merkle,
     ngram_join,
     packing,
     pii,
     quality_rules,
+    spelling,
     substring_dedup,
     token_counts,
     tool_calls,
@@ -72,6 +75,22 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The common form of every word of the documents."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and tampered version of every document."""
+    return merkle.manifest(table(spark, sf_dir, "documents")).drop("copied")
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document that stays for every document."""
+    found = exact_dedup.exact_dedup(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    return found.withColumnRenamed("digest", "text_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of ``corpus_pipeline`` over ``documents``."""
     import corpus_pipeline
@@ -81,11 +100,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     found = (op1_substring_dedup, op2_packing, op3_warc, op4_ngram_join, op5_token_counts, op6_quality_rules,
-             op7_tool_calls, op8_toxicity, op9_pii, op10_decontamination, pipeline)
+             op7_tool_calls, op8_toxicity, op9_pii, op10_decontamination,
+             op11_spelling_variants, op12_merkle_manifest, op13_exact_dedup, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_warc": warc.SQL, "op4_ngram_join": ngram_join.SQL, "op6_quality_rules": quality_rules.SQL,
             "op7_tool_calls": tool_calls.SQL,
-            "op10_decontamination": decontamination.SQL}
+            "op10_decontamination": decontamination.SQL, "op11_spelling_variants": spelling.SQL,
+            "op12_merkle_manifest": merkle.SQL, "op13_exact_dedup": exact_dedup.SQL}
