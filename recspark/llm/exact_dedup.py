@@ -44,6 +44,8 @@ _STATE_CONF = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # a micro-batch writes its changes, not a snapshot of the whole state
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # many small stores would each set megabytes of disk aside
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     # all state stores of an executor share this much memory
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
