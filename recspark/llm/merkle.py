@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recspark.llm.common import ascii_lower, stored
+from recspark.llm.common import ascii_lower, small, stored
 from recspark.operators.ordering import global_positions
 from recspark.session import configure
 
@@ -202,7 +202,7 @@ def leaves(docs: DataFrame) -> DataFrame:
     # written before the ranges are sampled, so that texts are read and hashed once
     rows = stored(rows, "merkle-leaves")
     rows = stored(global_positions(rows, ["doc_id", "hash"], by=["tree"]), "merkle-positions")
-    return rows.join(rows.groupBy("tree").agg(F.count("*").alias("n")), "tree")
+    return rows.join(small(stored(rows.groupBy("tree").agg(F.count("*").alias("n")), "merkle-trees")), "tree")
 
 
 def manifest(docs: DataFrame) -> DataFrame:
