@@ -46,6 +46,8 @@ LONGEST, BITS, MOST_BITS, PROBES = 64, 16, 1 << 29, 6
 _BLOCK_BITS = 512
 #: blocks that are set in one group; probes computed at a time; words counted before they are handed on
 _RUN_OF_BLOCKS, _CHUNK, _COUNTED = 1024, 1 << 20, 500_000
+#: words probed by one task
+_PROBED = 50_000
 
 # one byte a letter: Latin-1 holds them all, other characters become "?"
 _RUN = re.compile(rb"[a-z\xc0-\xff]{%d,}" % LEAST_LENGTH)
@@ -280,7 +282,9 @@ def near_words(words: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array([words[i] for i in row], pa.string()), pa.array(n[row] if row else [], pa.int64()),
                                        pa.array(near, pa.string())], names=["word", "n", "near"])
 
-    positives = arrow_rows(words, work, "word string, n long, near string")
+    # a word means hundreds of probes: the tasks are cut by words, not by bytes
+    dealt = words.repartition(max(1, -(-sum(sizes.values()) // _PROBED)))
+    positives = arrow_rows(dealt, work, "word string, n long, near string")
     return positives.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
 
 
