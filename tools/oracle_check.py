@@ -25,7 +25,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 def _cell(v):
-    if v is None:
+    if v is None or v is pd.NA:
         return "NULL"
     if isinstance(v, float):
         if math.isnan(v):
