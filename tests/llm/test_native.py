@@ -11,7 +11,7 @@ from recspark.llm.queries import oracle_sql, queries
 from tools.oracle_check import duck, frame_hash
 
 SF = "/root/testdata/sf0.001"
-NATIVE = ["op6_quality_rules", "op7_tool_calls", "op10_decontamination"]
+NATIVE = ["op6_quality_rules", "op7_tool_calls", "op10_decontamination", "op13_exact_dedup"]
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
