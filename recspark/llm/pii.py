@@ -123,7 +123,7 @@ def proposals(text: str):
         for a, b in _emails(text):
             yield "email", a, b
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
             yield "ip", *m.span()
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14:

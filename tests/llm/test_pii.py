@@ -4,6 +4,8 @@ import hashlib
 import re
 import time
 
+import pytest
+
 from recspark.llm import pii
 from recspark.llm.queries import op9_pii
 
@@ -20,7 +22,7 @@ def base(text):
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
         out.append((m.start(), 0, "email", m.end()))
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
-        if all(int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split(".")):
             out.append((m.start(), 1, "ip", m.end()))
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         d = re.sub(r"[^0-9]", "", m.group())
@@ -101,3 +103,15 @@ def test_redact_keeps_columns_and_rows(make_docs):
     assert pii.redact(docs).columns == docs.columns
     assert rows[1]["text"] == "mail <EMAIL> now" and rows[1]["n_chars"] == len("mail <EMAIL> now")
     assert rows[2]["text"] is None and rows[3]["text"] == "plain"
+
+
+@pytest.mark.parametrize("part", range(4))
+def test_long_runs_of_zeros_are_numbers(make_docs, part):
+    """Numbers longer than Python converts."""
+    for zeros in (5_000, 1_000_000):
+        parts = ["1"] * 4
+        parts[part] = "0" * zeros + "7"
+        ok = ".".join(parts)
+        parts[part] = "9" * zeros
+        rows = {r["doc_id"]: r for r in pii.digest(make_docs([ok, ".".join(parts)])).collect()}
+        assert rows[0]["n_ip"] == 1 and f"ip:0:{len(ok)}" in rows[0]["spans"] and rows[1]["n_ip"] == 0
