@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recspark.operators import scoring
+from recspark.operators import content, lsh, scoring
 from recspark.plans.registry import register
 from recspark.sources import (global_mean, item_factors_view, movies_view, ratings_view,
                               user_factors_view)
@@ -173,3 +173,15 @@ def blend_scores(spark, sf):
     """0.6 x explicit + 0.4 x implicit over the whole catalogue, top-10."""
     ratings, uf, itf = _factors(spark, sf)
     return scoring.blend_topn(uf.select("userId"), (uf, itf, global_mean(ratings)), (uf, itf), 10)
+
+
+@register("similar_items_lsh")
+def similar_items_lsh(spark, sf):
+    """Top-10 similar items found by random projections."""
+    return lsh.similar_items_lsh(item_factors_view(spark, sf), 10)
+
+
+@register("content_similar")
+def content_similar(spark, sf):
+    """Top-10 similar movies by genres (50 components, cosine)."""
+    return content.content_similar(movies_view(spark, sf), 10)
