@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from recspark.plans.registry import ORACLE, register
 from recspark.plans.serving_plans import SV, _BATCHES, _CLASSIFIED, _EMA, _METRICS
 from recspark.session import scratch_path
-from recspark.sources import prediction_log_view, request_log_view
+from recspark.sources import load_table, prediction_log_view, request_log_view
 from recspark.streaming import monitor_stream as ms
 
 CHUNKS = 4
@@ -64,4 +64,25 @@ def stream_latency_ema(spark, sf):
     return res.select("avg_latency_ms", "n_updates")
 
 
+@register("stream_user_sessions", """
+WITH e AS (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
+f AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS session_index FROM e)
+SELECT user_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_events,
+       (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS length_seconds
+FROM f GROUP BY user_id, session_index""", [], round_cols=["length_seconds"], bigint_cols=["n_events"])
+def stream_user_sessions(spark, sf):
+    """Sessions closed by a watermark; equals user_sessions.  An event of
+    nobody after the last one closes the sessions that are open at the end."""
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("event_feed", "sessions", "sessions_ckpt"))
+    events = load_table(spark, sf, "events").select("user_id", "ts")
+    for part in ms.time_chunks(events, "ts", CHUNKS):
+        part.write.mode("append").parquet(src)
+        ms.session_stream(spark, src, sink, ckpt)
+    last = events.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).select(F.lit(None).cast("long").alias("user_id"), "ts")
+    last.write.mode("append").parquet(src)
+    out, _ = ms.session_stream(spark, src, sink, ckpt)
+    return out.where("user_id IS NOT NULL")
+
+
 __all__ = ["ORACLE"]

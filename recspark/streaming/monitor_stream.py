@@ -1,14 +1,17 @@
 """Structured Streaming versions of the monitoring operators.
 
 * T1 ``degradation_stream``: per model, running (count, error sum) state of
-  O(1) size; every 100th prediction closes a batch and emits its MAE, the
-  baseline and the alert flag.  Equals ``monitor.degradation_batches`` when
-  the feed arrives in (ts, user, movie) order.
-* T2 ``request_classification_stream``: per (user, n, group) key a single
-  flag "has a successful request" decides cache hits, exactly as the batch
-  ``serving.classify_requests``; ``request_metrics_stream`` counts the
+  O(1) size in a table that each micro-batch folds by exact positions; every
+  100th prediction closes a batch and emits its MAE, the baseline and the alert
+  flag.  Equals ``monitor.degradation_batches`` when the feed arrives in
+  (ts, user, movie) order.
+* T2 ``request_classification_stream``: per (user, n, group) key a flag "has a
+  successful request" and the time of the last one decide cache hits; keys
+  expire by event-time timers; ``request_metrics_stream`` counts the
   classified requests per day with an event-time window and a watermark;
   ``latency_ema_stream`` folds the latency average with O(1) state.
+* B8 ``session_stream``: sessions of an event feed by ``session_window``, closed
+  by the watermark.
 
 State functions sort each micro-batch's rows of a key by event order; rows of
 later micro-batches must not be older than those already processed (the
@@ -28,6 +31,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from recspark import schemas
 from recspark.operators import ema
+from recspark.operators.ordering import global_positions
 from recspark.session import path_exists
 
 BATCH_OUT = T.StructType([
@@ -36,9 +40,9 @@ BATCH_OUT = T.StructType([
     T.StructField("batch_mae", T.DoubleType()), T.StructField("baseline_mae", T.DoubleType()),
     T.StructField("degradation_pct", T.DoubleType()), T.StructField("alert", T.BooleanType()),
 ])
-BATCH_STATE = T.StructType([
-    T.StructField("n", T.LongType()), T.StructField("err_sum", T.DoubleType()),
-    T.StructField("batch", T.LongType()), T.StructField("last_ts", T.TimestampNTZType()),
+DEGRADATION_STATE = T.StructType([
+    T.StructField("model_id", T.LongType()), T.StructField("batch", T.LongType()), T.StructField("n", T.LongType()),
+    T.StructField("err_sum", T.DoubleType()), T.StructField("last_ts", T.TimestampNTZType()),
 ])
 
 
@@ -69,61 +73,70 @@ def write_time_ordered(df: DataFrame, path: str, ts_col: str, chunks: int = 4) -
         part.write.mode("append").parquet(path)
 
 
-def _degradation_fn(baseline: dict | float | None, batch_size: int, threshold: float):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        model_id = int(key[0])
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        pdf = pdf[pdf["actual"].notna()].sort_values(["ts", "user_id", "movie_id"], kind="stable")
-        if state.exists:
-            n0, s0, b0, _ = state.get
-        else:
-            n0, s0, b0 = 0, 0.0, 0
-        err = (pdf["predicted"] - pdf["actual"]).abs().to_numpy(dtype=np.float64)
-        ts = pdf["ts"].to_numpy()
-        base = baseline.get(model_id) if isinstance(baseline, dict) else baseline
-        rows = []
-        n, acc, batch = int(n0), float(s0), int(b0)
-        for i, e in enumerate(err):
-            n += 1
-            acc += e
-            if n == batch_size:
-                mae = acc / n
-                b = mae if base is None else float(base)
-                deg = None if b == 0 else (mae - b) / b
-                rows.append((model_id, batch, n, ts[i], mae, b,
-                             None if deg is None else deg * 100.0, bool(deg is not None and deg > threshold)))
-                n, acc, batch = 0, 0.0, batch + 1
-        last = ts[-1] if len(ts) else (state.get[3] if state.exists else None)
-        state.update((n, acc, batch, pd.Timestamp(last).to_pydatetime() if last is not None else None))
-        if rows:
-            out = pd.DataFrame(rows, columns=[f.name for f in BATCH_OUT.fields])
-            out["batch_end_ts"] = pd.to_datetime(out["batch_end_ts"])
-            yield out
-
-    return fn
+def _latest(spark: SparkSession, path: str, batch_id: int, schema: T.StructType) -> DataFrame:
+    """The rows that the last micro-batch before ``batch_id`` wrote under ``path``."""
+    full = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(full).parquet(path).filter(F.col("batch_id") < batch_id)
+    last = rows.agg(F.max("batch_id")).first()[0]
+    return rows.filter(F.col("batch_id") == F.lit(last)).drop("batch_id")
 
 
 def degradation_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
                        baseline: dict | float | None = 1.1, batch_size: int = 100,
                        threshold: float = 0.1, max_files_per_trigger: int | None = 16) -> DataFrame:
     """Run the stream over ``source_dir`` (prediction-log parquet) until all
-    available files are processed; return the batch table written to ``sink_dir``.
+    available files are processed; return all closed batches.
+
+    A micro-batch numbers its rows per model by exact positions (range
+    partitions, so a model with all of the traffic is spread over many tasks)
+    and goes on from the state of the micro-batch before: one row per model with
+    the next batch's number and the count and error sum it already has.  Closed
+    batches and the new state are written under ``batch_id=<n>``; a micro-batch
+    that is run again overwrites what it had written and counts once.
 
-    The summation differs from the batch operator only in order (sequential
-    fold instead of a parallel aggregate), i.e. in the last bits.
-    """
+    The sums differ from the batch operator's only in order, i.e. in the last bits."""
+    batches, states = f"{sink_dir}/batches", f"{sink_dir}/state"
     reader = spark.readStream.schema(schemas.PREDICTION_LOG)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    feed = reader.parquet(source_dir)
-    out = feed.groupBy("model_id").applyInPandasWithState(
-        _degradation_fn(baseline, batch_size, threshold), BATCH_OUT, BATCH_STATE, "append",
-        GroupStateTimeout.NoTimeout)
-    q = (out.writeStream.format("parquet").option("path", sink_dir)
-         .option("checkpointLocation", checkpoint).outputMode("append")
-         .trigger(availableNow=True).start())
+    if isinstance(baseline, dict):  # one entry a model
+        own = F.create_map(*[F.lit(x) for kv in baseline.items() for x in kv])[F.col("model_id")] if baseline else F.lit(None)
+    else:
+        own = F.lit(baseline)
+
+    def step(feed: DataFrame, batch_id: int) -> None:
+        known = feed.filter("actual IS NOT NULL AND model_id IS NOT NULL").select(
+            "model_id", "ts", "user_id", "movie_id", F.abs(F.col("predicted") - F.col("actual")).alias("err"))
+        pos = global_positions(known, ["ts", "user_id", "movie_id"], by=["model_id"], name="pos")
+        state = _latest(spark, states, batch_id, DEGRADATION_STATE)
+        at = F.coalesce("n", F.lit(0)) + F.col("pos")
+        rows = pos.join(F.broadcast(state.select("model_id", "batch", "n")), "model_id", "left").select(  # one row a model
+            "model_id", (F.coalesce("batch", F.lit(0)) + F.floor(at / batch_size)).cast("long").alias("batch"), "err", "ts")
+        sums = rows.groupBy("model_id", "batch").agg(F.count("*").alias("n"), F.sum("err").alias("err_sum"), F.max("ts").alias("last_ts"))
+        sums = sums.unionByName(state).groupBy("model_id", "batch").agg(
+            F.sum("n").alias("n"), F.sum("err_sum").alias("err_sum"), F.max("last_ts").alias("last_ts"))
+        closed = F.col("n") == batch_size
+        mae = F.col("err_sum") / F.col("n")
+        base = F.coalesce(own.cast("double"), mae)
+        deg = F.when(base != 0, (mae - base) / base)
+        out = sums.filter(closed).select(
+            "model_id", "batch", "n", F.col("last_ts").alias("batch_end_ts"), mae.alias("batch_mae"), base.alias("baseline_mae"),
+            (deg * 100.0).alias("degradation_pct"), F.coalesce(deg > threshold, F.lit(False)).alias("alert"))
+        # a model's last batch goes on, or the one after it begins empty
+        last = sums.groupBy("model_id").agg(F.max(F.struct("batch", "n", "err_sum", "last_ts")).alias("l")).select("model_id", "l.*")
+        new = last.select("model_id", (F.col("batch") + closed.cast("long")).alias("batch"), F.when(closed, 0).otherwise(F.col("n")).alias("n"),
+                          F.when(closed, 0.0).otherwise(F.col("err_sum")).alias("err_sum"), "last_ts")
+        out.write.mode("overwrite").parquet(f"{batches}/batch_id={batch_id}")
+        new.write.mode("overwrite").parquet(f"{states}/batch_id={batch_id}")
+
+    q = (reader.parquet(source_dir).writeStream.foreachBatch(step)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(BATCH_OUT).parquet(sink_dir)
+    if not path_exists(spark, batches):
+        return spark.createDataFrame([], BATCH_OUT)
+    return spark.read.schema(BATCH_OUT).parquet(batches).drop("batch_id")
 
 
 CLASSIFIED_OUT = T.StructType([
@@ -133,30 +146,51 @@ CLASSIFIED_OUT = T.StructType([
     T.StructField("latency_ms", T.DoubleType()), T.StructField("cache_hit", T.BooleanType()),
     T.StructField("error", T.BooleanType()), T.StructField("latency_update", T.BooleanType()),
 ])
-CLASSIFIED_STATE = T.StructType([T.StructField("has_success", T.BooleanType())])
+CLASSIFIED_STATE = T.StructType([T.StructField("has_success", T.BooleanType()), T.StructField("last_us", T.LongType())])
 
 
-def _classify_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-    ok = ~pdf["is_error"].to_numpy(dtype=bool)
-    had = bool(state.get[0]) if state.exists else False
-    # a request hits when any earlier request of the key succeeded
-    before = np.concatenate([[0], np.cumsum(ok)[:-1]]) if len(ok) else np.zeros(0)
-    hit = (before > 0) | had
-    pdf = pdf.assign(cache_hit=hit, error=(~hit) & (~ok), latency_update=(~hit) & ok)
-    state.update((bool(had or ok.any()),))
-    yield pdf[[f.name for f in CLASSIFIED_OUT.fields]]
+def _classify_fn(ttl_us: int):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:  # the watermark is past the key's horizon: no row can use it any more
+            state.remove()
+            return
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
+        ok = ~pdf["is_error"].to_numpy(dtype=bool)
+        at = pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        had, last = state.get if state.exists else (False, int(at[0]))
+        # after a pause longer than the horizon a key starts anew
+        fresh = np.diff(at, prepend=last) > ttl_us
+        part = np.cumsum(fresh)
+        done = np.concatenate([[0], np.cumsum(ok)[:-1]])  # successes before each row
+        first = np.searchsorted(part, part, side="left")  # the first row of its part
+        hit = (done - done[first] > 0) | ((part == 0) & bool(had))
+        pdf = pdf.assign(cache_hit=hit, error=(~hit) & (~ok), latency_update=(~hit) & ok)
+        end = part == part[-1]
+        state.update((bool(ok[end].any() or (part[-1] == 0 and had)), int(at[-1])))
+        state.setTimeoutTimestamp(max(int(at[-1] + ttl_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pdf[[f.name for f in CLASSIFIED_OUT.fields]]
+
+    return fn
 
 
 def request_classification_stream(spark: SparkSession, source_dir: str, sink_dir: str,
-                                  checkpoint: str, max_files_per_trigger: int | None = 16) -> DataFrame:
-    """T2 part 1: classify a request-log stream into hits / misses / errors."""
+                                  checkpoint: str, max_files_per_trigger: int | None = 16,
+                                  ttl_seconds: float = 90 * 86400.0, watermark: str = "1 hour") -> DataFrame:
+    """T2 part 1: classify a request-log stream into hits / misses / errors.
+
+    A key (user, n, group) is remembered for ``ttl_seconds`` of event time after
+    its last request: a request that comes later is a miss again.  The rule looks
+    at event times only, so it doesn't depend on how the feed is cut into
+    micro-batches; a timer on the watermark removes the key's state once no row
+    can fall within the horizon.  Rows behind the watermark are dropped by Spark
+    and counted in the query's progress.  With a horizon longer than the feed the
+    result equals ``serving.classify_requests``."""
     reader = spark.readStream.schema(schemas.REQUEST_LOG)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    feed = reader.parquet(source_dir)
+    feed = reader.parquet(source_dir).withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", watermark)
     out = feed.groupBy("user_id", "n", "experiment_group").applyInPandasWithState(
-        _classify_fn, CLASSIFIED_OUT, CLASSIFIED_STATE, "append", GroupStateTimeout.NoTimeout)
+        _classify_fn(int(ttl_seconds * 1e6)), CLASSIFIED_OUT, CLASSIFIED_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     q = (out.writeStream.format("parquet").option("path", sink_dir)
          .option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).start())
@@ -164,6 +198,45 @@ def request_classification_stream(spark: SparkSession, source_dir: str, sink_dir
     return spark.read.schema(CLASSIFIED_OUT).parquet(sink_dir)
 
 
+SESSIONS_OUT = T.StructType([
+    T.StructField("user_id", T.LongType()), T.StructField("start_ts", T.TimestampNTZType()),
+    T.StructField("end_ts", T.TimestampNTZType()), T.StructField("n_events", T.LongType()),
+    T.StructField("length_seconds", T.DoubleType()),
+])
+
+
+def session_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str, gap_seconds: float = 1800.0,
+                   watermark: str = "1 hour", max_files_per_trigger: int | None = 16) -> tuple[DataFrame, int]:
+    """B8 as a stream over an event feed (user_id, ts): every session that the
+    watermark has closed, appended once, and the number of late rows dropped.
+
+    A pause of ``gap_seconds`` ends a session, as in ``sessions.sessions``; events
+    are merged into sessions in each task before they are shuffled, so a user
+    with most of the events is combined early.  Sessions that may still go on
+    stay in the state until later events arrive."""
+    reader = spark.readStream.schema("user_id long, ts timestamp_ntz")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    feed = reader.parquet(source_dir).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", watermark)
+    # Spark joins events whose windows touch; a pause of exactly the gap shall part them
+    gap = f"{int(gap_seconds * 1e6) - 1} microseconds"
+    found = feed.groupBy("user_id", F.session_window("at", gap).alias("w")).agg(
+        F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("n_events"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    out = found.select("user_id", "start_ts", "end_ts", "n_events", ((micros("end_ts") - micros("start_ts")) / 1e6).alias("length_seconds"))
+    local = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+    before = spark.conf.get(local, "false")
+    spark.conf.set(local, "true")
+    try:
+        q = (out.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", checkpoint)
+             .outputMode("append").trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(local, before)
+    q.awaitTermination()
+    late = sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
+    return spark.read.schema(SESSIONS_OUT).parquet(sink_dir), late
+
+
 def request_metrics_stream(spark: SparkSession, classified_dir: str, sink_dir: str, checkpoint: str,
                            watermark: str = "1 hour", window: str = "1 day") -> DataFrame:
     """T2 part 2: requests, hits, misses and errors per tumbling event-time
