@@ -8,12 +8,15 @@ separator or a doubled letter, and single characters with blanks between them.
 Words and word beginnings, as written and as restored, are the features of a
 logistic model fitted to the labelled rows outside the held-out fold.
 
-Corpus counts cover all texts: 4-gram counts are summed in Spark (at most
-27 ** 4 of them), feature counts over all labelled training rows.  Bounds: the
-model is fitted on at most ``SAMPLE`` labelled rows (those with the least hash
-of their id) and has at most ``FEATURES`` features out of at most
-``CANDIDATES`` that enough distinct toxic texts share.  Only these leave the
-executors.  Scoring is one pass over whole texts without a shuffle.
+4-gram counts cover all texts and are summed in Spark (at most 27 ** 4 of them).
+The classifier is fitted on a bounded sample: at most ``SAMPLE`` labelled rows of
+each class, those with the least hash of their id, weighted by the rows of the
+class.  Its features are all that ``LEAST_TEXTS`` distinct toxic texts of the
+sample share and that a likelihood-ratio test (``LEAST_RATIO``) finds more
+frequent in toxic texts; their number has no limit but follows from the sample.
+Scoring is one pass over whole texts without a shuffle.  Where the features are
+known, a token whose lattice spells none of them is not searched: a trie of the
+features is walked along all moves at once, which gives the same features.
 
 Defined cases: null and empty texts have no features and get the score of the
 intercept; repeated rows each get a row; labels that contradict each other
@@ -27,18 +30,20 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recspark.llm.common import arrow_rows, small
+from recspark.llm.common import arrow_rows, stored
 
 FOLDS = 5
-SAMPLE, FEATURES, CANDIDATES = 20_000, 512, 50_000
-#: distinct toxic texts that a feature must be in, lengths of word beginnings
-LEAST_TEXTS, PREFIXES = 3, (4, 5, 6)
+SAMPLE = 10_000
+#: distinct toxic texts that a feature must be in, least likelihood ratio, lengths of word beginnings
+LEAST_TEXTS, LEAST_RATIO, PREFIXES = 3, 25.0, (4, 5, 6)
 #: states times moves above which a step of the search is done by numpy
 WIDE = 600
 #: states of the first, narrow search; its cost bounds the full one
@@ -123,6 +128,18 @@ class Restorer:
     def __init__(self, model: np.ndarray):
         self.table = model.reshape(_ALPHABET ** 3, _ALPHABET).astype(float)
         self.cost, self.least = self.table.tolist(), self.table.min(axis=0).tolist()
+        self.moves_of: dict[tuple, list] = {}
+
+    def moves(self, token: str) -> list[list[tuple[int, float]]]:
+        out = []
+        for ch, before in zip(token, " " + token):
+            key = ch, ch == before
+            if key not in self.moves_of:
+                if len(self.moves_of) > 10_000:
+                    self.moves_of.clear()
+                self.moves_of[key] = self._moves(ch, before)
+            out.append(self.moves_of[key])
+        return out
 
     def _moves(self, ch: str, before: str) -> list[tuple[int, float]]:
         """(code or -1 for nothing, cost) of a character."""
@@ -185,7 +202,7 @@ class Restorer:
         """The best path of the whole lattice.  Costs are never negative, so a
         state whose cost plus the least cost of the rest is above that of a
         known path (the narrow search's) is on no better one."""
-        moves = [self._moves(ch, before) for ch, before in zip(token, " " + token)]
+        moves = self.moves(token)
         total, path, cut = self._search(moves, None)
         if cut:
             bound, rest = [], self.least[0] - 1e-6
@@ -207,26 +224,68 @@ def _word_features(word: str):
             yield "^" + word[:k]
 
 
+class Spelled:
+    """A trie of features, to tell which lattices can spell one."""
+
+    def __init__(self, features):
+        self.root: dict = {}
+        for f in features:
+            beginning, word = f[0] == "^", f.removeprefix("^")
+            if all("a" <= ch <= "z" for ch in word):  # restored words have no other letters
+                node = self.root
+                for ch in word:
+                    node = node.setdefault(ord(ch) - 96, {})
+                node[-1 if beginning else 0] = True
+
+    def by(self, moves: list[list[tuple[int, float]]], anywhere: bool = False) -> bool:
+        """Whether a path of the lattice is a feature or, for a word beginning,
+        starts with it; with ``anywhere`` also from a later letter on."""
+        nodes = {id(self.root): self.root}
+        for step in moves:
+            nxt = {id(self.root): self.root} if anywhere else {}
+            for node in nodes.values():
+                for code, _ in step:
+                    to = node if code < 0 else node.get(code)
+                    if to is not None:
+                        if -1 in to:
+                            return True
+                        nxt[id(to)] = to
+            if not nxt:
+                return False
+            nodes = nxt
+        return any(0 in node for node in nodes.values())
+
+
 class Features:
     """Features of texts; what a token gives is remembered for a bounded number
-    of tokens."""
+    of tokens.  With ``index`` only its features are given, by number."""
 
     def __init__(self, model: np.ndarray, index: dict[str, int] | None = None):
         self.restore, self.index, self.known = Restorer(model), index, {}
+        if index is not None:
+            self.spelled = Spelled(index)
+            self.starts = {f.removeprefix("^")[:3] for f in index}
+
+    def _named(self, found) -> list:
+        return list(found) if self.index is None else [self.index[f] for f in found if f in self.index]
+
+    def _of_word(self, word: str) -> list:
+        return [] if self.index is not None and word[:3] not in self.starts else self._named(_word_features(word))
 
     def _of_token(self, token: str) -> tuple:
-        words = _TOKEN_WORD.findall(token)
+        found = [f for w in _TOKEN_WORD.findall(token) for f in self._of_word(w)]
         inner = token.strip(_ENDS)
-        if _NOISY.search(inner) and _LETTER.search(inner):
-            words += [w for w in (self.restore(inner),) if len(w) > 2]
-        found = dict.fromkeys(f for w in words for f in _word_features(w))
-        if self.index is not None:
-            return tuple(self.index[f] for f in found if f in self.index)
-        return tuple(found)
+        if _NOISY.search(inner) and _LETTER.search(inner) and (
+                self.index is None or self.spelled.by(self.restore.moves(inner))):
+            word = self.restore(inner)
+            if len(word) > 2:
+                found += self._of_word(word)
+        return tuple(dict.fromkeys(found))
 
     def restored_runs(self, text: str) -> list[str]:
         """Words written with spaces between their letters."""
-        return [self.restore(_SAME.sub(r"\1 \1", " ".join(m.group().split()))) for m in _SPACED.finditer(text)]
+        runs = [_SAME.sub(r"\1 \1", " ".join(m.group().split())) for m in _SPACED.finditer(text)]
+        return [self.restore(r) for r in runs if self.index is None or self.spelled.by(self.restore.moves(r), anywhere=True)]
 
     def of(self, text: str | None) -> set:
         if not text:
@@ -239,98 +298,113 @@ class Features:
             self.known[t] = self._of_token(t)
         out = set().union(*map(self.known.__getitem__, tokens))
         for word in self.restored_runs(low):
-            found = [f for i in range(len(word) - 2) for f in _word_features(word[i:])] if self.index is not None else _word_features(word)
-            out.update(found if self.index is None else (self.index[f] for f in found if f in self.index))
+            # single letters may stand before the word: it starts anywhere
+            for i in range(len(word) - 2):
+                out.update(self._of_word(word[i:]))
         return out
 
 
-def _counts(texts: DataFrame, model, index, name: str) -> DataFrame:
+_WORKER: dict[str, Features] = {}
+
+
+def _features(key: str, model, index=None) -> Features:
+    """The worker's ``Features`` of one step of a query: tokens stay known from task to task."""
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = Features(model.value, index and index.value)
+    return _WORKER[key]
+
+
+def _counts(texts: DataFrame, model, name: str) -> DataFrame:
     """(feature, name): texts that have the feature, combined in each task."""
-    def work(batches):
-        from collections import Counter
+    key = uuid.uuid4().hex
 
+    def work(batches):
         import pyarrow as pa
 
-        feats, total = Features(model.value, index and index.value), Counter()
+        feats, total = _features(key, model), Counter()
+
+        def report():
+            return pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["feature", "n"])
+
         for b in batches:
             for text in b.column("text").to_pylist():
                 total.update(feats.of(text))
-        kind = pa.string() if index is None else pa.int64()
-        yield pa.record_batch([pa.array(list(total), kind), pa.array(list(total.values()), pa.int64())], names=["feature", "n"])
+                if len(total) > _KNOWN:
+                    yield report()
+                    total.clear()
+        yield report()
 
-    kind = "string" if index is None else "long"
-    rows = arrow_rows(texts.select("text"), work, f"feature {kind}, n long")
-    return rows.groupBy("feature").agg(F.sum("n").alias(name))
+    return arrow_rows(texts.select("text"), work, "feature string, n long").groupBy("feature").agg(F.sum("n").alias(name))
+
+
+def _ratio(n1: Column, n0: Column, t1: float, t0: float) -> Column:
+    """Twice the log-likelihood ratio of two shares against one; 0 where the
+    feature is not more frequent among the first."""
+    part = lambda n, t: n * F.log(n / (t * (n1 + n0) / (t1 + t0))) if t else F.lit(0.0)
+    one, zero = (F.when(n > 0, part(n, t)).otherwise(0.0) for n, t in ((n1, t1), (n0, t0)))
+    return F.when(n1 * t0 > n0 * t1, 2 * (one + zero)).otherwise(0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, model) -> tuple[dict[str, int], np.ndarray]:
     """The feature index and the weights (intercept last)."""
     spark = docs.sparkSession
-    marks = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marked = docs.join(small(marks), "doc_id").select("doc_id", "text", "toxic")
-    size = marked.groupBy("toxic").agg(F.count("*").alias("n"), F.approx_count_distinct("text").alias("t")).collect()
-    n = {int(r["toxic"]): r["n"] for r in size}
+    marks = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
+        (F.max("toxic") > 0).cast("long").alias("toxic"))
+    marks = stored(docs.select("doc_id").distinct().join(marks, "doc_id"), "toxicity-marks")
+    n = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         share = 1 - 1e-6 if n.get(1) else 1e-6
         return {}, np.array([math.log(share / (1 - share))])
-    toxic = _counts(marked.where("toxic = 1").select("text").distinct(), model, None, "n1")
-    top = toxic.where(F.col("n1") >= LEAST_TEXTS).orderBy(F.desc("n1"), "feature").limit(CANDIDATES).toPandas()
-    names, n1 = top["feature"].tolist(), top["n1"].to_numpy(float)
-    index = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
-    n0 = np.zeros(len(names))
-    for r in _counts(marked.where("toxic = 0"), model, index, "n0").collect():  # at most CANDIDATES rows
-        n0[r["feature"]] = r["n0"]
-    t1 = max(n1.max(initial=0), next(r["t"] for r in size if int(r["toxic"]) == 1))
-    p1, p0 = (n1 + 0.1) / (t1 + 1), (n0 + 0.1) / (n[0] + 1)
-    gain = np.where(p1 > p0, p1 * np.log(p1 / p0), 0)
-    best = [i for i in np.argsort(-gain, kind="stable")[:FEATURES].tolist() if gain[i] > 0]
-    chosen = {names[i]: k for k, i in enumerate(best)}
+    # ids are chosen first, so that no texts are gathered to choose among them; at most SAMPLE of each class
+    least = [marks.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for k in (0, 1)]
+    sample = stored(docs.join(F.broadcast(least[0].unionByName(least[1])), "doc_id").select("text", "toxic"), "toxicity-sample")
+    texts = [sample.where(F.col("toxic") == k).select("text") for k in (0, 1)]
+    toxic = texts[1].distinct()
+    t0, t1 = texts[0].count(), toxic.count()
+    n1, n0 = F.col("n1"), F.coalesce("n0", F.lit(0))
+    found = _counts(toxic, model, "n1").where(n1 >= LEAST_TEXTS).join(_counts(texts[0], model, "n0"), "feature", "left")
+    found = found.where(_ratio(n1, n0, float(t1), float(t0)) >= LEAST_RATIO).select("feature").orderBy("feature")
+    chosen = {r["feature"]: i for i, r in enumerate(found.collect())}  # words typical of the sample's toxic texts
     if not chosen:
         share = n[1] / (n[0] + n[1])
         return {}, np.array([math.log(share / (1 - share))])
-    shared = spark.sparkContext.broadcast(chosen)
-    # ids are chosen first, so that no texts are gathered to choose among them
-    ids = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("doc_id")
-    sample = marked.join(F.broadcast(ids), "doc_id")
+    shared, key = spark.sparkContext.broadcast(chosen), uuid.uuid4().hex
 
     def work(batches):
         import pyarrow as pa
 
-        feats = Features(model.value, shared.value)
+        feats = _features(key, model, shared)
         for b in batches:
             rows = [sorted(feats.of(t)) for t in b.column("text").to_pylist()]
             yield pa.record_batch([pa.array(rows, pa.list_(pa.int64())), b.column("toxic").cast(pa.int64())], names=["f", "y"])
 
-    rows = arrow_rows(sample.select("text", "toxic"), work,
-                      "f array<long>, y long").collect()  # at most SAMPLE rows of at most FEATURES numbers
-    return chosen, _logistic([r["f"] for r in rows], np.array([r["y"] for r in rows], float), len(chosen))
-
-
-def _logistic(features: list[list[int]], y: np.ndarray, k: int, steps: int = 1000, l2: float = 1e-5) -> np.ndarray:
-    """Accelerated gradient descent; equal rows are one row with a weight."""
-    weight: dict[tuple, float] = {}
-    for f, t in zip(features, y.tolist()):
-        weight[(tuple(f), t)] = weight.get((tuple(f), t), 0) + 1 / len(y)
-    rows = list(weight)
-    x = np.zeros((len(rows), k + 1), np.float32)
-    for i, (f, _) in enumerate(rows):
-        x[i, list(f)] = 1
-    x[:, k] = 1
-    target, share = np.array([t for _, t in rows], np.float32), np.array(list(weight.values()), np.float32)
-    u = np.ones(k + 1, np.float32)
+    rows = arrow_rows(sample, work, "f array<long>, y long").groupBy("f", "y").agg(F.count("*").alias("n")).collect()  # at most 2 SAMPLE rows
+    of_class = [sum(r["n"] for r in rows if r["y"] == k) for k in (0, 1)]
+    weight = np.array([r["n"] * n[r["y"]] / of_class[r["y"]] for r in rows])
+    return chosen, _logistic([r["f"] for r in rows], np.array([r["y"] for r in rows], float), weight / weight.sum(), len(chosen))
+
+
+def _logistic(features: list[list[int]], y: np.ndarray, share: np.ndarray, k: int, steps: int = 1000, l2: float = 1e-5) -> np.ndarray:
+    """Accelerated gradient descent on sparse rows with shares that sum to one."""
+    row = np.repeat(np.arange(len(y)), [len(f) + 1 for f in features])
+    col = np.concatenate([np.append(np.array(f, np.int64), k) for f in features])
+    times = lambda w: np.bincount(row, weights=w[col], minlength=len(y))
+    back = lambda g: np.bincount(col, weights=g[row], minlength=k + 1)
+    u = np.ones(k + 1)
     for _ in range(30):  # the largest eigenvalue bounds the curvature
-        u = x.T @ (share * (x @ u))
+        u = back(share * times(u))
         top = float(np.linalg.norm(u))
         u /= top
-    decay = np.append(np.full(k, l2, np.float32), 0)
+    decay = np.append(np.full(k, l2), 0)
     step = 1 / (0.25 * top * 1.05 + l2)
-    w = v = np.zeros(k + 1, np.float32)
+    w = v = np.zeros(k + 1)
     for t in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        new = v - step * (x.T @ (share * (p - target)) + decay * v)
+        p = 1 / (1 + np.exp(-np.clip(times(v), -30, 30)))
+        new = v - step * (back(share * (p - y)) + decay * v)
         v = new + t / (t + 3) * (new - w)
         w = new
-    return w.astype(float)
+    return w
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -339,13 +413,12 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     model = spark.sparkContext.broadcast(character_model(docs))  # 27 ** 4 numbers
     index, weights = fit(docs, labels.select("doc_id", "toxic"), model)
-    shared = spark.sparkContext.broadcast((index, weights))
+    shared, key = spark.sparkContext.broadcast(index), uuid.uuid4().hex
 
     def work(batches):
         import pyarrow as pa
 
-        index, weights = shared.value
-        feats = Features(model.value, index)
+        feats = _features(key, model, shared)
         for b in batches:
             z = [weights[-1] + sum(weights[i] for i in feats.of(t)) for t in b.column("text").to_pylist()]
             score = 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
