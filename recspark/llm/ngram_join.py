@@ -35,7 +35,6 @@ import hashlib
 from functools import reduce
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,30 +53,95 @@ CHUNK, CHUNK_LEAST, HOT = 2_000_000, 3, 100_000
 BROADCAST_SHINGLES = 2_000_000
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_WORDS: dict[bytes, int] = {}
-
-
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_WORDS) > 400_000:
-        _WORDS.clear()
-    for w in set(words).difference(_WORDS):
-        _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-
-
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text.  ``bytes.lower`` and
-    ``bytes.split`` are the contract's A-Z and white space."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = _word_hashes(words)
-    k = min(WORDS, len(words))
+_BASE = 0xD1342543DE82EF95  # odd, so that it has an inverse
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_IS_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+#: bytes of text hashed at a time
+PIECE = 1 << 20
+
+
+def _finish(x: np.ndarray) -> np.ndarray:
+    for shift, mult in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(mult)
+    return x ^ (x >> np.uint64(31))
+
+
+#: a number for each byte value
+_BYTE = _finish(np.arange(1, 257, dtype=np.uint64) * _MULT)
+_POWERS: list[np.ndarray] = []
+
+
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base and of its inverse."""
+    if not _POWERS:
+        for base in (_BASE, _INVERSE):
+            steps = np.full(PIECE, base, np.uint64)
+            steps[0] = 1
+            _POWERS.append(np.multiply.accumulate(steps))
+    return _POWERS[0], _POWERS[1]
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    return np.array([pow(base, n, 1 << 64)], np.uint64)
+
+
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of the words of a text: each word's bytes as a polynomial,
+    the difference of one running sum, which is taken piece by piece."""
+    b = np.frombuffer(data, np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], _IS_SPACE[b], [True]])))
+    power, inverse = _powers()
+    run, shift, total = np.zeros(len(edges), np.uint64), np.zeros(len(edges), np.uint64), np.zeros(1, np.uint64)
+    for lo in range(0, len(b), PIECE):
+        part = b[lo:lo + PIECE]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * power[:len(part)], dtype=np.uint64)]) * _power(_BASE, lo)
+        here = slice(*np.searchsorted(edges, (lo, lo + len(part))))
+        run[here] = sums[edges[here] - lo] + total
+        shift[here] = inverse[edges[here] - lo] * _power(_INVERSE, lo)
+        total = total + sums[-1:]
+    run[np.searchsorted(edges, len(b)):] = total
+    start, end = edges[::2], edges[1::2]
+    return _finish((run[1::2] - run[::2]) * shift[::2] + (end - start).astype(np.uint64) * _MULT), start
+
+
+def _hashed(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of ``k`` words."""
     out = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):
-        out = (out ^ h[i:i + len(out)]) * _MULT
+        out = (out ^ words[i:i + len(out)]) * _MULT
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return out
+
+
+def _distinct(s: np.ndarray) -> np.ndarray:
+    s = np.sort(s)
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
+
+
+def shingle_sets(texts: list[str | None]):
+    """Sorted distinct hashes of the shingles of each text.  ``bytes.lower`` is
+    the contract's A-Z.  Texts are hashed together, about ``PIECE`` bytes at a time."""
+    group: list[bytes] = []
+    size = 0
+    for i, text in enumerate(texts):
+        data = (text or "").encode("utf-8", "surrogatepass").lower()
+        group.append(data)
+        size += len(data) + 1
+        if size >= PIECE or i + 1 == len(texts):
+            words, starts = _words(b"\n".join(group))
+            ends = np.cumsum([len(d) + 1 for d in group])
+            last = np.searchsorted(starts, ends)
+            shingles = _hashed(words, WORDS) if len(words) >= WORDS else words[:0]
+            for lo, hi in zip([0, *last[:-1].tolist()], last.tolist()):
+                if hi - lo >= WORDS:
+                    yield _distinct(shingles[lo:hi - WORDS + 1])
+                else:
+                    yield _hashed(words[lo:hi], hi - lo) if hi > lo else words[:0]
+            group, size = [], 0
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    return next(shingle_sets([text]))
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -138,8 +202,7 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
 
         sets, seen, size = [], set(), 0
         for b in batches:
-            for text in b.column("text").to_pylist():
-                s = shingle_set(text)
+            for s in shingle_sets(b.column("text").to_pylist()):
                 key = hash(s.tobytes())
                 if len(s) and key not in seen:
                     seen.add(key)
@@ -169,8 +232,7 @@ def prefixes(docs: DataFrame) -> DataFrame:
         hot = by_count[rank]
         for b in batches:
             n, digest, prefix, pdig, sketch, wide, keys = [], [], [], [], [], [], []
-            for text in b.column("text").to_pylist():
-                s = shingle_set(text)
+            for s in shingle_sets(b.column("text").to_pylist()):
                 p = _ordered(s, hot, rank)[:prefix_length(len(s))]
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -230,20 +292,18 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, name: str) -> Da
     firsts = per.select("a", F.explode(F.expr("sequence(0L, parts - 1L)")).alias("part"),
                         F.col("a").alias("row"), F.lit(True).alias("first"))
     wanted = stored(dealt.unionByName(firsts).join(nodes.select("row", "doc_id", "digest"), "row"), f"{name}-wanted")
-    # a null id has no equal: its rows are told apart by the digest alone
     ids = small(wanted.select(F.col("doc_id").alias("_d")).distinct())
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    w = wanted.select("a", "part", "row", "first", F.col("doc_id").alias("_d"), "digest")
-    rows = texts.join(w, F.col("doc_id").eqNullSafe(F.col("_d"))).select("a", "part", "row", "first", "digest", "text")
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_d"), "left_semi")
+    rows = texts.join(wanted, "doc_id").select("a", "part", "row", "first", "digest", "text")
 
     def check(key, group):
         import pyarrow as pa
 
         centre, members = None, {}
-        for row, first, digest, text in zip(*(group.column(c).to_pylist() for c in ("row", "first", "digest", "text"))):
-            s = shingle_set(text)
+        sets = shingle_sets(group.column("text").to_pylist())
+        for row, first, digest, s in zip(*(group.column(c).to_pylist() for c in ("row", "first", "digest")), sets):
             if hashlib.blake2b(s.tobytes(), digest_size=16).digest() != digest:
-                continue  # another text under the same id
+                raise ValueError("a text has changed while it was read")
             if first:
                 centre = s
             else:
@@ -369,8 +429,28 @@ def group_pairs(groups: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+    """One row per document: doc_id, n_shingles, component_id.
+
+    Rows are told apart by their id.  Where ids are null or repeated, the texts
+    are written once with a number each and the rows are joined by that, so that
+    rows of one id never meet as a product."""
     docs = docs.select("doc_id", "text")
+    ids = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    if ids["n"] == ids["ids"]:
+        rows = _labelled(docs)
+    else:
+        numbered = stored(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        found = _labelled(numbered.select(F.col("row").alias("doc_id"), "text"))
+        rows = found.withColumnRenamed("doc_id", "row").join(numbered.select("row", "doc_id"), "row")
+    rows = stored(rows.select("doc_id", "n", "comp"), "labelled")
+    # only components of several rows are looked up, so singles stay where they are
+    least = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_m")).where("_m > 1").drop("_m")
+    out = rows.join(small(stored(least, "least")), "comp", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, comp) of documents with unique ids."""
     table = prefixes(docs)
     sets = table.where("n > 0")
     first = stored(_labels(sets.select("row", "n", "digest"), None, "copies"), "copies")
@@ -394,23 +474,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = near.unionByName(more)
     final = _labels(sets.select("row", "n", "digest"), links, "all") if more.limit(1).count() else labels
 
-    rows = table.select("row", "doc_id", "n").join(final, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
-    least = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return table.select("row", "doc_id", "n").join(final, "row", "left").select("doc_id", "n", F.coalesce("comp", "row").alias("comp"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component stays: the least id's, and of its repeated rows
     the one with the least number.  Rows without words are components of their own."""
-    cols = docs.columns
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = jaccard_components(numbered.select(F.col("_row").alias("doc_id"), "text"))
+    # the row is kept in a struct, so that no column of its own can be overwritten
+    numbered = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+                                  F.monotonically_increasing_id().alias("_row")), "numbered")
+    found = jaccard_components(numbered.select(F.col("_row").alias("doc_id"), "doc.text"))
     found = found.select(F.col("doc_id").alias("_r"), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
-    keep = (numbered.select("doc_id", "_row").join(found, F.col("_row") == F.col("_r"))
+    doc_id = F.col("doc.doc_id")
+    first = F.min(F.struct(doc_id.isNull(), doc_id.alias("doc_id"), "_row"))["_row"]
+    keep = (numbered.select("doc.doc_id", "_row", F.struct("doc.doc_id").alias("doc")).join(found, F.col("_row") == F.col("_r"))
             .groupBy("component_id").agg(first.alias("_k")).select("_k"))
     out = numbered.join(small(stored(keep, "kept-rows")), F.col("_row") == F.col("_k"), "left_semi")
-    return out.select(*[F.col(f"`{c}`") for c in cols])
+    return out.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 SQL = r"""

@@ -115,3 +115,36 @@ def test_sketches_bound_the_difference():
         while len(x) != len(y):
             x, y = (x, np.bitwise_xor(*np.split(y, 2))) if len(y) > len(x) else (np.bitwise_xor(*np.split(x, 2)), y)
         assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
+
+
+def test_shingles_do_not_depend_on_the_batch(monkeypatch):
+    """Texts hashed together, in pieces or alone: equal sets of equal words only."""
+    rng = random.Random(6)
+    texts = [None, "", " \t", "one", "a b c d", "A b\x0bC d e", "é É \xa0x", "w" * 500, "\r".join("ab" * 40), " lead", "trail \n", "\ud800 x"]
+    texts += [" ".join(rng.choice(["a", "bb", "ccc" * 9, "ä"]) for _ in range(rng.randrange(60))) for _ in range(200)]
+    alone = [next(nj.shingle_sets([t])).tolist() for t in texts]
+    assert [len(s) for s in alone] == [len(_set(t)) for t in texts]
+    assert [s.tolist() for s in nj.shingle_sets(texts)] == alone
+    monkeypatch.setattr(nj, "PIECE", 64)
+    monkeypatch.setattr(nj, "_POWERS", [])
+    assert [s.tolist() for s in nj.shingle_sets(texts)] == alone
+    named = {}
+    for t, s in zip(texts, alone):
+        assert named.setdefault(tuple(s), _set(t)) == _set(t)
+    hashes, start = nj._words(" ".join(f"w{i}" for i in range(100_000)).encode())
+    assert len(np.unique(hashes)) == len(start) == 100_000
+
+
+def test_null_ids_never_meet_as_a_product(make_docs):
+    """Two families of 5,000 rows without an id."""
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(None, f"{t} {i % 7}") for t in (one, two) for i in range(5000)] + [(4, one)]
+    got = nj.jaccard_components(make_docs(rows)).groupBy("component_id").count().collect()
+    assert sorted((str(r["component_id"]), r["count"]) for r in got) == [("4", 5001), ("None", 5000)]
+
+
+def test_keep_one_with_clashing_columns(make_docs):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y z")]
+    docs = make_docs(rows).selectExpr("*", "doc_id * 10 AS _row", "1 AS doc", "2 AS _r", "3 AS component_id", "4 AS comp")
+    out = nj.keep_one(docs)
+    assert out.columns == docs.columns and sorted(r["_row"] for r in out.collect()) == [10, 30]
