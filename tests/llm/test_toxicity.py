@@ -152,3 +152,48 @@ def test_disguised_tokens_reach_the_search(model):
     tried = [(f"{w[:i]}{sep}{w[i:]}", w) for w in sorted({*DISGUISED.values(), "stupid"} - {"worthless"}) for i in range(1, len(w)) for sep in ".-_,'~"]
     assert [t for t, w in tried if w not in feats.of(t)] == []
     assert "idiot" in feats.of("such: i  d\ni o\tt") and feats.restored_runs("so b a d it") == ["bad"]
+
+
+def _never_skipped(feats):
+    feats.spelled = type("All", (), {"by": staticmethod(lambda *_, **__: True)})
+    feats.starts = type("Any", (), {"__contains__": staticmethod(lambda *_: True)})()
+    return feats
+
+
+def test_the_trie_skips_nothing_that_counts(model, docs):
+    """The same features as with every token searched."""
+    index = {f: i for i, f in enumerate(["idiot", "^idio", "moron", "^stup", "^stupi", "scum", "ass", "é", "^clown", "déjà", "zz"])}
+    fast, slow = toxicity.Features(model, index), _never_skipped(toxicity.Features(model, index))
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(400).collect()]
+    texts += [f"so {d} it" for d in DISGUISED] + ["a i d i o t", "x s  c\nu m y", "as$", "a$s", "z z z", "id*ots", "st**id", "c1owning", "m-o-r-o-n-s"]
+    found = [fast.of(t) for t in texts]
+    assert found == [slow.of(t) for t in texts] and sum(map(bool, found)) > 8
+
+
+def test_query_scores_against_a_plain_model(spark):
+    """Scores of the query from its features and weights, one text after the other."""
+    sf = "/root/testdata/sf0.01"
+    d, labels = (table(spark, sf, t) for t in ("documents", "labels"))
+    shared = spark.sparkContext.broadcast(toxicity.character_model(d))
+    index, weights = toxicity.fit(d.select("doc_id", "text"), labels, shared)
+    feats = _never_skipped(toxicity.Features(shared.value, index))
+    want = {r["doc_id"]: 1 / (1 + np.exp(-(weights[-1] + sum(weights[i] for i in feats.of(r["text"]))))) for r in d.collect()}
+    got = {r["doc_id"]: (r["score"], r["predicted"], r["held_out"]) for r in op8_toxicity(spark, sf).collect()}
+    assert set(got) == set(want) and index
+    assert all(abs(s - want[k]) < 1e-9 and p == (s >= 0.5) and h == (zlib.crc32(str(k).encode()) % 5 == 0) for k, (s, p, h) in got.items())
+
+
+def test_weights_of_a_known_table():
+    """Sparse rows: the optimum of the penalised likelihood."""
+    w = toxicity._logistic([[0], [0], [1], []], np.array([1.0, 0, 0, 0]), np.array([0.3, 0.1, 0.3, 0.3]), 2, l2=1e-2)
+    p = lambda *f: 1 / (1 + np.exp(-(w[2] + sum(w[i] for i in f))))
+    grad = [0.3 * (p(0) - 1) + 0.1 * p(0) + 1e-2 * w[0], 0.3 * p(1) + 1e-2 * w[1], 0.3 * (p(0) - 1) + 0.1 * p(0) + 0.3 * p(1) + 0.3 * p()]
+    assert np.abs(grad).max() < 1e-4
+
+
+def test_one_class_and_clashing_columns(spark, make_docs):
+    docs = make_docs([(i, f"text {i}") for i in range(20)]).selectExpr("*", "1 AS toxic", "2 AS feature", "3 AS n1", "4 AS score", "5 AS held_out")
+    all_toxic = spark.createDataFrame([(i, 1, 9) for i in range(20)], "doc_id long, toxic long, n0 long")
+    assert {r["predicted"] for r in toxicity.scores(docs, all_toxic).collect()} == {1}
+    none_toxic = spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, toxic long")
+    assert {r["predicted"] for r in toxicity.scores(docs, none_toxic).collect()} == {0}
