@@ -142,10 +142,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with every repeated span cut from the texts but the first."""
     configure(docs.sparkSession)
     cols = docs.columns
-    # written once, so that a document and its spans meet by the row number
-    whole = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "dedup-docs")
-    key = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_row")
-    found = spans(whole.select(key.alias("doc_id"), "text"))
+    # written once, so that a document and its spans meet by the row number; the
+    # row is kept in a struct, so that no column of its own can be overwritten
+    whole = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("doc"),
+                               F.monotonically_increasing_id().alias("_row")), "dedup-docs")
+    key = F.struct(F.col("doc.doc_id").isNull().alias("z"), F.col("doc.doc_id").alias("doc_id"), "_row")
+    found = spans(whole.select(key.alias("doc_id"), F.col("doc.text").alias("text")))
     cuts = (found.where("cut_bytes > 0").groupBy(F.col("doc_id._row").alias("_r"))
             .agg(F.sort_array(F.flatten(F.collect_list("cuts"))).alias("_cuts")))
 
@@ -161,7 +163,9 @@ def dedup(docs: DataFrame) -> DataFrame:
             return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
         return pd.Series([one(t, r) for t, r in zip(texts, cuts)], dtype=object)
 
-    out = whole.join(cuts, F.col("_row") == F.col("_r"), "left").withColumn("text", without("text", "_cuts"))
+    out = whole.join(cuts, F.col("_row") == F.col("_r"), "left").select(
+        "doc", without("doc.text", "_cuts").alias("_text"))
+    new = {"text": F.col("_text")}
     if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*[F.col(f"`{c}`") for c in cols])
+        new["n_chars"] = F.char_length("_text").cast(dict(docs.dtypes)["n_chars"])
+    return out.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in cols])

@@ -122,3 +122,13 @@ def test_defined_cases_and_dedup(make_docs):
     assert sum(len(t) for _, t in left) < 2.2 * len(text) + 60
     assert sd.repeated(make_docs([])).collect() == []
     assert np.sum([r["n_chars"] or 0 for r in sd.dedup(docs).collect()]) == sum(len(t) for _, t in left)
+
+
+def test_dedup_with_clashing_columns(make_docs):
+    same = " ".join(f"passage{i}" for i in range(60))
+    docs = make_docs([(1, same), (2, same), (None, "own")]).selectExpr(
+        "*", "doc_id * 10 AS _row", "1 AS doc", "2 AS _r", "3 AS _cuts", "4 AS _text")
+    out = {r["doc_id"]: r for r in sd.dedup(docs).collect()}
+    assert sd.dedup(docs).columns == docs.columns and out[1]["_row"] == 10 and out[2]["_row"] == 20
+    assert out[1]["text"] == same and len(out[2]["text"]) < len(same) and out[2]["n_chars"] == len(out[2]["text"])
+    assert (out[2]["doc"], out[2]["_r"], out[2]["_cuts"], out[2]["_text"]) == (1, 2, 3, 4)
