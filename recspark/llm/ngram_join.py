@@ -57,7 +57,7 @@ _BASE = 0xD1342543DE82EF95  # odd, so that it has an inverse
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _IS_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 #: bytes of text hashed at a time
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def _finish(x: np.ndarray) -> np.ndarray:
