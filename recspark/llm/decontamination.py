@@ -1,11 +1,15 @@
 """Benchmark decontamination (operator 10, DataFrame functions only).
 
 The benchmark's normalised 13-word windows form a hash set that is broadcast
-when its counted size allows it; a larger set is joined by shuffle with the
-same result.  Documents are scanned once.  Each window of the set has an
-anchor, its longest word; only document windows that hold an anchor at the
-right place are spelled out and looked up in the set (equality of the whole
-window, so a hit is verified by the join itself).
+when its counted size allows it.  Documents are then scanned once.  Each window
+of the set has an anchor, its longest word; only document windows that hold an
+anchor at the right place are spelled out and looked up in the set (equality of
+the whole window, so a hit is verified by the join itself).
+
+A larger set is joined by shuffle with the same result: one narrow row per
+document window (its place and 64-bit hash, no words) meets the hashed set, and
+the places found are verified word by word against the document.  Rows grow
+with the words of a text, times the distinct window lengths (13 at most).
 
 Defined cases: a null or wordless text has no words and is not contaminated; a
 null or wordless item gives no window; an item of 1 to 12 words is one window;
@@ -57,24 +61,59 @@ def scan(docs: DataFrame, windows: DataFrame) -> DataFrame:
     none = spark.range(1).select(F.lit("").alias("gram"), F.lit(0).alias("len"), F.lit("").alias("word"),
                                  F.lit(0).alias("off"))
     grams = windows.select("gram", "len", "word", "off").distinct().unionByName(none)
-    small = grams.count() <= BROADCAST_WINDOWS
-    place = F.broadcast if small else (lambda df: df)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_th"), item_words(F.col("text")).alias("_w"))
+    if grams.count() > BROADCAST_WINDOWS:
+        return _scan_large(rows, grams.where("len > 0"))
     anchors = grams.select(F.col("word").alias("_word"), F.col("off").alias("_off"), F.col("len").alias("_len")).distinct()
     known = grams.select(F.col("gram").alias("_gram"), F.col("off").alias("_goff"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("_th"), item_words(F.col("text")).alias("_w"))
     # the word list starts with '' so that every document gives its own row
     rows = rows.withColumn("_w", F.concat(F.array(F.lit("")), F.col("_w")))
     rows = rows.select("doc_id", "_th", "_w", F.posexplode("_w").alias("_p", "_x"))
-    rows = rows.join(place(anchors), F.col("_x") == F.col("_word"))
+    rows = rows.join(F.broadcast(anchors), F.col("_x") == F.col("_word"))
     rows = rows.withColumn("start", F.col("_p") - F.col("_off"))
     rows = rows.where((F.col("_len") == 0) | ((F.col("start") >= 1) & (F.col("start") + F.col("_len") <= F.size("_w"))))
     rows = rows.withColumn("gram", F.when(F.col("_len") == 0, F.lit("")).otherwise(
         F.array_join(F.slice("_w", F.greatest(F.col("start") + 1, F.lit(1)), F.col("_len")), " ")))
     rows = rows.withColumn("n_words", F.size("_w") - 1)
-    rows = rows.join(place(known), (F.col("gram") == F.col("_gram")) & (F.col("_off") == F.col("_goff")))
+    rows = rows.join(F.broadcast(known), (F.col("gram") == F.col("_gram")) & (F.col("_off") == F.col("_goff")))
     return rows.select("doc_id", "_th", "n_words", "start", F.col("_len").alias("len"), "gram")
 
 
+def _window(start: Column, length: Column | int) -> Column:
+    return F.array_join(F.slice("_w", start, length), " ")
+
+
+def window_rows(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc_id, _th, start, len, _h): every window of the given lengths."""
+    def of(n):
+        return F.when(F.size("_w") >= n, F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size("_w") - (n - 1), F.lit(1))),
+            lambda i: F.struct(i.alias("start"), F.lit(n).alias("len"), F.xxhash64(_window(i, n)).alias("_h"))))
+    none = F.array().cast("array<struct<start:int,len:int,_h:bigint>>")
+    at = F.concat(none, *[F.coalesce(of(n), none) for n in lengths])
+    return rows.select("doc_id", "_th", F.inline(at))
+
+
+def _scan_large(rows: DataFrame, grams: DataFrame) -> DataFrame:
+    """``scan`` for a set beyond the broadcast bound; ``rows``: doc_id, _th, _w."""
+    grams = stored(grams.select("gram", "len").distinct(), "windows")
+    lengths = sorted(r["len"] for r in grams.select("len").distinct().collect())  # 13 values at most
+    keys = grams.select(F.xxhash64("gram").alias("_h"), "len").distinct()
+    met = window_rows(rows, lengths).join(keys, ["_h", "len"])
+    # a document's places are bounded by its words
+    met = met.groupBy(F.col("doc_id").alias("_d"), F.col("_th").alias("_t")).agg(
+        F.collect_set(F.struct("start", "len")).alias("_at"))
+    met = small(stored(met, "window-places"), BROADCAST_DOCS)
+    hit = rows.join(met, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")))
+    hit = hit.select("doc_id", "_th", F.size("_w").alias("n_words"), F.inline(F.transform(
+        "_at", lambda a: F.struct(a["start"].alias("start"), a["len"].alias("len"),
+                                  _window(a["start"], a["len"]).alias("gram")))))
+    hit = hit.join(grams, ["gram", "len"], "left_semi")
+    own = rows.select("doc_id", "_th", F.size("_w").alias("n_words"), F.lit(0).alias("start"), F.lit(0).alias("len"),
+                      F.lit("").alias("gram"))
+    return own.unionByName(hit.select(*own.columns))
+
+
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per distinct (doc_id, text): n_words, hits (sorted structs
     start, len; start counts words from 1), items (sorted strings), n_rows."""

@@ -5,6 +5,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from recspark.llm import decontamination as dc
 from recspark.llm import quality_rules as qr
 from recspark.llm.queries import oracle_sql, queries
@@ -99,7 +101,11 @@ def _words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
 
 
-def test_decontamination_cases(spark, make_docs):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_cases(spark, make_docs, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(dc, "BROADCAST_WINDOWS", 0)
+        monkeypatch.setattr(dc, "BROADCAST_DOCS", 0)
     long = " ".join(f"b{i}" for i in range(30))
     items = [(1, long), (2, "short item"), (3, None), (4, "!!"), (5, long), (10, "É été"), (None, "nullid here"), (6, "rep " * 20)]
     texts = [f"x {long} y", "a Short, ITEM!", None, "", "été", "É ÉTÉ é été", " ".join(f"b{i}" for i in range(12)),
@@ -129,6 +135,26 @@ def test_decontamination_cases(spark, make_docs):
         assert r["contaminated"] == (bool(hit) and 20 * len(hit) >= len(w))
 
 
+def test_rows_of_the_shuffled_windows_grow_with_the_words(make_docs, monkeypatch):
+    """One row per window, and none of them carries the text."""
+    rows = lambda n: dc.window_rows(make_docs([" ".join(f"w{i}" for i in range(n)), None, "one"]).select(
+        "doc_id", F.xxhash64("text").alias("_th"), dc.item_words(F.col("text")).alias("_w")), [2, 13])
+    assert rows(500).columns == ["doc_id", "_th", "start", "len", "_h"]
+    assert [rows(n).count() for n in (1, 2, 13, 500, 5000)] == [0, 1, 13, 499 + 488, 4999 + 4988]
+
+
+def test_copies_with_and_without_broadcast(spark, make_docs, monkeypatch):
+    """Repeated rows, null ids and a passage in every text: the same rows both ways."""
+    long = " ".join(f"b{i}" for i in range(30))
+    docs = make_docs([(i, f"t{i % 7} {long}") for i in range(40)] + [(3, f"t3 {long}")] * 5 + [(None, long)] * 5 + [(None, None)] * 2)
+    bench = spark.createDataFrame([(1, long), (2, "t3 b0")], "item_id long, text string")
+    both = []
+    for most in (500_000, 0):
+        monkeypatch.setattr(dc, "BROADCAST_WINDOWS", most)
+        both.append(sorted(map(str, dc.contamination(docs, bench).collect())))
+    assert both[0] == both[1] and len(both[0]) == 52
+
+
 def test_decontaminate_cuts_and_drops(spark, make_docs):
     bench = spark.createDataFrame([(2, "short item")], "item_id long, text string")
     many = " ".join(f"z{i}" for i in range(100))
