@@ -6,9 +6,11 @@ the tool's schema; each call becomes one line of canonical JSON (sorted keys,
 no blanks).
 
 Every key holds the call id, so a conversation with a third of all turns is
-spread over all tasks and never gathered.  The order comes from rounds of
-equi-joins over the calls that are still open, each written to the shared
-folder: as many rounds as the longest chain of waiting calls.
+spread over all tasks and never gathered.  Runs of calls that each wait for
+one are contracted by pointer doubling; the order of the others comes from
+rounds of equi-joins over the calls that are still open.  Each round is written
+to the shared folder: as many as the logarithm of the longest run, plus the
+most calls with several waits on one path.
 
 Defined cases: of calls (or results) with the same id in a conversation the one
 with the least turn, then content, counts, the others are ``duplicates``; a
@@ -69,6 +71,30 @@ def _first(rows: DataFrame, *cols: str) -> DataFrame:
     return out.select("conv_id", "call_id", *[F.col(f"_r.{c}").alias(c) for c in cols], "more")
 
 
+def _chains(waits: DataFrame) -> DataFrame:
+    """(conv_id, call_id, to, dist): for every call with exactly one wait the
+    first call up its chain that has none or several, and the steps to it, by
+    pointer doubling: as many rounds as the logarithm of the longest chain.
+    ``to`` is null where the chain is a cycle or leads into one."""
+    one = waits.groupBy("conv_id", "call_id").agg(F.min("dep").alias("to"), F.count("*").alias("n"))
+    one = stored(one.where("n = 1").select("conv_id", "call_id", "to"), "one-wait")
+    more = one.select("conv_id", F.col("call_id").alias("to"), F.lit(True).alias("more"))
+    cur = stored(one.join(more, ["conv_id", "to"], "left").select(
+        "conv_id", "call_id", "to", F.lit(1).cast("bigint").alias("dist"), F.col("more").isNotNull().alias("more")), "chains")
+    # no path without a cycle has more calls than its conversation
+    longest = one.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    steps = 1
+    while steps < longest and cur.where("more").limit(1).count():
+        ahead = cur.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("to2"),
+                           F.col("dist").alias("dist2"), F.col("more").alias("more2"))
+        moved = cur.where("more").join(ahead, ["conv_id", "to"]).select(
+            "conv_id", "call_id", F.col("to2").alias("to"), (F.col("dist") + F.col("dist2")).alias("dist"),
+            F.col("more2").alias("more"))
+        cur = stored(cur.where("NOT more").unionByName(moved), "chains")
+        steps *= 2
+    return cur.select("conv_id", "call_id", F.when(~F.col("more"), F.col("to")).alias("to"), "dist")
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 for calls that wait for none, else one more
     than the greatest level waited for.  Calls in cycles have no row."""
@@ -76,20 +102,26 @@ def levels(calls: DataFrame) -> DataFrame:
     known = calls.select("conv_id", F.col("call_id").alias("dep"))
     waits = stored(waits.join(known, ["conv_id", "dep"]), "waits")
     waiting = waits.select("conv_id", "call_id").distinct()
-    done = calls.select("conv_id", "call_id").join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    done = fresh = stored(done, "level")
-    # open waits: (conv_id, call_id, dep), and the greatest level that was met already
-    open_ = waits.withColumn("met", F.lit(-1))
-    level = 0
-    while fresh.limit(1).count():
-        level += 1
-        hit = fresh.select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("hit"))
-        marked = stored(open_.join(hit, ["conv_id", "dep"], "left"), "waits-open")
-        left = marked.groupBy("conv_id", "call_id").agg(F.count(F.when(F.col("hit").isNull(), 1)).alias("left"))
-        fresh = stored(left.where("left = 0").select("conv_id", "call_id").withColumn("level", F.lit(level)), "level")
+    fresh = calls.select("conv_id", "call_id").join(waiting, ["conv_id", "call_id"], "left_anti")
+    done = fresh = stored(fresh.withColumn("level", F.lit(0).cast("bigint")), "level")
+    chains = stored(_chains(waits), "chain-ends")
+    # waits of calls with several: the end of the chain waited for, and the steps to it
+    end = chains.select("conv_id", F.col("call_id").alias("dep"), "to", "dist", F.lit(True).alias("chained"))
+    open_ = waits.join(chains.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
+    open_ = stored(open_.join(end, ["conv_id", "dep"], "left").select(
+        "conv_id", "call_id", F.when(F.col("chained"), F.col("to")).otherwise(F.col("dep")).alias("to"),
+        F.coalesce("dist", F.lit(0)).alias("dist"), F.lit(None).cast("bigint").alias("met")), "waits-open")
+    while open_.limit(1).count() and fresh.limit(1).count():
+        hit = fresh.select("conv_id", F.col("call_id").alias("to"), "level")
+        marked = stored(open_.join(hit, ["conv_id", "to"], "left").select(
+            "conv_id", "call_id", "to", "dist", F.coalesce("met", F.col("level") + F.col("dist")).alias("met")), "waits-open")
+        per = marked.groupBy("conv_id", "call_id").agg(F.max("met").alias("met"), F.count(F.when(F.col("met").isNull(), 1)).alias("left"))
+        fresh = stored(per.where("left = 0").select("conv_id", "call_id", (F.col("met") + 1).alias("level")), "level")
         done = done.unionByName(fresh)
-        open_ = marked.where("hit IS NULL").drop("hit")
-    return done
+        open_ = marked.join(fresh.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
+    of_end = done.select("conv_id", F.col("call_id").alias("to"), "level")
+    return done.unionByName(chains.join(of_end, ["conv_id", "to"]).select(
+        "conv_id", "call_id", (F.col("level") + F.col("dist")).alias("level")))
 
 
 def _problems(params):

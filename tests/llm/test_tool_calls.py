@@ -43,8 +43,38 @@ def test_fixture(spark):
 
 
 def test_long_chain_in_one_conversation_and_empty(spark):
-    n = 12
+    n = 2000
     calls = [(1, f"k{i}", i, "count", '{"text":"t"}', [f"k{i - 1}"] if i else []) for i in range(n)]
     got = _link(spark, calls, [])
     assert [got[1, f"k{i}"]["level"] for i in range(n)] == list(range(n))
     assert _link(spark, [], []) == {}
+
+
+def test_levels_against_a_plain_walk(spark):
+    """Runs, forks, calls with several waits, waits into cycles, cycles of one, two and five."""
+    import random
+
+    rng = random.Random(5)
+    calls = []
+    for conv in range(6):
+        for i in range(60):
+            k = rng.choice([0, 1, 1, 1, 1, 2, 3])
+            calls.append((conv, f"k{i}", i, "count", '{"text":"t"}', [f"k{rng.randrange(i)}" for _ in range(k)] if i else []))
+    calls += [(9, f"r{i}", i, "count", "{}", [f"r{(i + 1) % 5}"]) for i in range(5)]
+    calls += [(9, "self", 6, "count", "{}", ["self"]), (9, "x", 7, "count", "{}", ["y"]), (9, "y", 8, "count", "{}", ["x"]),
+              (9, "in1", 9, "count", "{}", ["r0"]), (9, "in2", 10, "count", "{}", ["in1", "ok"]), (9, "ok", 11, "count", "{}", None),
+              (9, "after", 12, "count", "{}", ["in2"]), (9, "fine", 13, "count", "{}", ["ok", "ok", None, "gone"])]
+    want = {}
+    while True:  # until no level changes
+        new = {}
+        ids = {(c, i) for c, i, *_ in calls}
+        for c, i, _, _, _, after in calls:
+            deps = [(c, d) for d in after or [] if (c, d) in ids]
+            if all(d in want for d in deps):
+                new[c, i] = max((want[d] + 1 for d in deps), default=0)
+        if new == want:
+            break
+        want = new
+    got = tc.levels(spark.createDataFrame([(*c, "") for c in calls], CALLS)).collect()
+    assert len(got) == len(want) and {(r["conv_id"], r["call_id"]): r["level"] for r in got} == want
+    assert set(want) >= {(9, "ok"), (9, "fine")} and not {i for c, i in want if c == 9} - {"ok", "fine"}
