@@ -4,6 +4,8 @@ components."""
 
 from __future__ import annotations
 
+import ctypes
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +85,27 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 BATCH_BYTES = 16 * 1024 * 1024
 
 
+def give_back() -> None:
+    """Freed memory of this worker goes back to the system (where the C library
+    can do that); a worker serves later stages too and else keeps its peak."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(work):
+    """``work`` of ``mapInArrow`` with freed memory given back before and after."""
+    def run(batches):
+        give_back()
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def arrow_rows(df: DataFrame, work, schema) -> DataFrame:
     """``mapInArrow`` with the package on the workers and bounded batches."""
     spark = df.sparkSession

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recspark.llm.common import arrow_rows, components, small, stored
+from recspark.llm.common import arrow_rows, components, lean, small, stored
 
 WORDS = 5
 NUM, DEN = 80, 100
@@ -213,7 +213,7 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
                     sets, seen, size = [], set(), 0
         yield report(sets)
 
-    counts = arrow_rows(docs.select("text"), work, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = arrow_rows(docs.select("text"), lean(work), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "token").limit(HOT).toPandas()
     return top["token"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
@@ -255,7 +255,7 @@ def prefixes(docs: DataFrame) -> DataFrame:
                            T.StructField("pdig", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType())),
                            T.StructField("wide", T.ArrayType(T.LongType())),
                            T.StructField("keys", T.ArrayType(T.LongType()))])
-    rows = arrow_rows(docs.select("doc_id", "text"), work, schema)
+    rows = arrow_rows(docs.select("doc_id", "text"), lean(work), schema)
     return stored(rows.withColumn("row", F.monotonically_increasing_id()), "prefixes")
 
 
@@ -374,7 +374,7 @@ def near_pairs(nodes: DataFrame) -> DataFrame:
                                    pa.array(np.concatenate([d, d]).astype(np.int64))], names=["a", "b", "d"])
             tail = tuple(x[-AHEAD:] for x in (row, n, s, sk))
 
-    near = arrow_rows(rows, work, "a long, b long, d long").distinct()
+    near = arrow_rows(rows, lean(work), "a long, b long, d long").distinct()
     # at most a few partners from each place in each sort
     best = near.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "a"))), 1, PARTNERS).alias("_m"))
     best = best.select("b", F.explode("_m").alias("_m")).select(F.col("_m.a").alias("a"), "b")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recspark.llm.common import arrow_rows
+from recspark.llm.common import arrow_rows, give_back, lean
 from recspark.llm.wordbpe import encoder
 
 SEQUENCE = 4096
@@ -38,6 +38,8 @@ GROUP_SEQUENCES = 256
 BYTES_PER_TOKEN = 2.5
 #: cost of a piece: length + QUADRATIC * length ** 2
 QUADRATIC = 1 / 2048
+#: texts are split into pieces about so many characters at a time
+SLICE = 1 << 22
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -72,8 +74,23 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def slices(texts):
+    """The texts of an Arrow column as lists of about ``SLICE`` characters; a
+    longer text is a list of its own."""
+    part, size = [], 0
+    for text in texts:
+        text = text.as_py()
+        if part and size + len(text or "") > SLICE:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text or "")
+    if part:
+        yield part
+
+
 def token_rows(docs: DataFrame, tokenizer_path: str, groups: int, size: int = SEQUENCE) -> DataFrame:
-    """(doc_id, grp, n, full: checksums of full sequences, rest: ids as bytes, wide)."""
+    """(doc_id, grp, n, full: checksums of full sequences, rest: ids as bytes)."""
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())  # one vocabulary file
@@ -84,7 +101,7 @@ def token_rows(docs: DataFrame, tokenizer_path: str, groups: int, size: int = SE
         enc = encoder(shared.value)
         for b in batches:
             n, full, rest = [], [], []
-            for ids in enc.ids(b.column("text").to_pylist()):
+            for ids in (ids for texts in slices(b.column("text")) for ids in enc.ids(texts)):
                 ids = np.append(ids, np.array([END_ID], enc.dtype))
                 whole = len(ids) // size
                 n.append(len(ids))
@@ -97,7 +114,7 @@ def token_rows(docs: DataFrame, tokenizer_path: str, groups: int, size: int = SE
     schema = T.StructType([docs.schema["doc_id"], T.StructField("grp", T.LongType()), T.StructField("n", T.LongType()),
                            T.StructField("full", T.ArrayType(T.LongType())), T.StructField("rest", T.BinaryType())])
     rows = docs.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("grp"), "text")
-    return arrow_rows(rows, work, schema)
+    return arrow_rows(rows, lean(work), schema)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE) -> DataFrame:
@@ -129,6 +146,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE) -> DataFram
         seq = [(grp << 32) + s for s in seq]
         cols = [pa.array(doc, group.schema.field("doc_id").type)]
         cols += [pa.array(c, pa.int64()) for c in (start, length, checksum, tokens, seq, offset)]
+        give_back()
         return pa.table(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PIECES}"

@@ -87,3 +87,13 @@ def test_assign_balances_cost():
     for _, _, length, s, _ in pieces:
         cost[s] = cost.get(s, 0) + packing.cost(length)
     assert len(cost) == 4 and max(cost.values()) / min(cost.values()) < 1.2
+
+
+def test_slices_hold_every_text_once():
+    import pyarrow as pa
+
+    texts = ["a" * 10, None, "", "b" * (packing.SLICE + 5), "c", "d" * (packing.SLICE - 1), "e", "f"]
+    parts = list(packing.slices(pa.array(texts)))
+    assert [t for p in parts for t in p] == texts
+    assert all(len(p) == 1 or sum(len(t or "") for t in p) <= packing.SLICE for p in parts) and len(parts) == 4
+    assert list(packing.slices(pa.array([], pa.string()))) == []
