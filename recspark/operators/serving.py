@@ -7,11 +7,12 @@ same decisions are made for a whole request log at once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recspark.functions.hashing import ab_group
 from recspark.operators import ema, scoring
+from recspark.session import scratch_path
 
 EMA_ALPHA = 0.1
 
@@ -37,6 +38,87 @@ def serve_batch(requests: DataFrame, user_factors: DataFrame, item_factors: Data
                       ab_group(F.col("userId"), salt).alias("experiment_group"))
 
 
+#: partitions of a served table; a refresh reads and overwrites only those of changed users
+SERVED_PARTS = 64
+_PART = "part"
+
+
+def _served_users(users: DataFrame, user_factors: DataFrame, item_factors: DataFrame, mu: float, n: int,
+                  seen: DataFrame | None, salt: str, parts: int) -> DataFrame:
+    """One row per user: the scored list, or a null list for users who get the
+    popular one.  A known user with nothing left to recommend has an empty list."""
+    users = users.select("userId").distinct()
+    known = user_factors.select("userId", F.lit(True).alias("_known"))
+    recs = scoring.recommend_explicit(users.join(known, "userId", "left_semi"), user_factors, item_factors, mu, n, seen=seen)
+    items = recs.groupBy("userId").agg(F.sort_array(F.collect_list(F.struct(
+        F.col("rank").cast("bigint").alias("rank"), "movieId", F.col("predicted_rating").alias("score")))).alias("items"))
+    none = F.array().cast(items.schema["items"].dataType)
+    return (users.join(known, "userId", "left").join(items, "userId", "left")
+            .select(F.col("userId").alias("user_id"), ab_group(F.col("userId"), salt).alias("experiment_group"),
+                    F.lit(int(n)).cast("bigint").alias("n"),
+                    F.when(F.col("_known"), F.coalesce("items", none)).alias("items"),
+                    _part(F.col("userId"), parts)))
+
+
+def _part(user, parts: int):
+    return F.pmod(F.xxhash64(user.cast("bigint")), F.lit(parts)).cast("int").alias(_PART)
+
+
+def _write_served(users: DataFrame, popular: DataFrame, path: str, n: int) -> None:
+    """Overwrites the partitions that ``users`` has rows in, and the popular list."""
+    (users.repartition(_PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(_PART).parquet(f"{path}/users"))
+    (popular.filter(F.col("rank") <= n).select("movieId", F.col("score").cast("double"), F.col("rank").cast("bigint"))
+     .coalesce(1).write.mode("overwrite").parquet(f"{path}/popular"))
+
+
+def write_served(path: str, users: DataFrame, user_factors: DataFrame, item_factors: DataFrame, mu: float,
+                 popular: DataFrame, n: int = 10, seen: DataFrame | None = None, salt: str = "default",
+                 parts: int = SERVED_PARTS) -> None:
+    """V1 as a table under ``path``: the list of each of ``users`` (userId),
+    partitioned by a hash of the user, and the popular list once.  Users without
+    factors hold no list of their own, so a new popular list reaches them all."""
+    _write_served(_served_users(users, user_factors, item_factors, mu, n, seen, salt, parts), popular, path, n)
+
+
+def refresh_served(path: str, changed: DataFrame, user_factors: DataFrame, item_factors: DataFrame, mu: float,
+                   popular: DataFrame, n: int = 10, seen: DataFrame | None = None, salt: str = "default",
+                   parts: int = SERVED_PARTS) -> None:
+    """V1 refresh: scores only the ``changed`` users (userId: new interactions, or
+    not served before) and overwrites only their partitions; the other users of
+    those partitions are copied.  The model, ``n``, ``salt`` and ``parts`` are
+    those of ``write_served``; with them the table equals one built anew.
+
+    New rows are written to the shared folder first, so the partitions are
+    replaced by a plain copy, and a refresh that was cut short can be run again.
+    No changed user leaves all partitions as they are.  Users repeat or not in
+    ``changed`` alike."""
+    spark = changed.sparkSession
+    staged = scratch_path(spark, "served-new")
+    _served_users(changed, user_factors, item_factors, mu, n, seen, salt, parts).write.parquet(staged)
+    fresh = spark.read.parquet(staged)
+    touched = [r[_PART] for r in fresh.select(_PART).distinct().collect()]  # at most `parts`
+    old = spark.read.parquet(f"{path}/users").where(F.col(_PART).isin(touched))
+    kept = old.join(fresh.select("user_id"), "user_id", "left_anti")
+    merged = scratch_path(spark, "served-merged")
+    kept.select(*fresh.columns).unionByName(fresh).write.parquet(merged)
+    _write_served(spark.read.schema(fresh.schema).parquet(merged), popular, path, n)
+
+
+def read_served(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of ``serve_batch`` from a served table, in one scan without a join."""
+    users = spark.read.parquet(f"{path}/users")
+    kind = users.schema["items"].dataType
+    # the popular list has at most n rows
+    popular = spark.read.parquet(f"{path}/popular").orderBy("rank").collect()
+    listed = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("rank", "movieId", "score")]) for r in popular]).cast(kind)
+    out = users.select(
+        "user_id", "experiment_group", "n",
+        F.when(F.col("items").isNull(), "popular_fallback").otherwise("collaborative_filtering").alias("strategy"),
+        F.inline(F.coalesce("items", listed)))
+    return out.select("user_id", "movieId", "score", "rank", "strategy", "n", "experiment_group")
+
+
 def classify_requests(log: DataFrame, known_users: DataFrame) -> DataFrame:
     """V2 per request: cache_hit, cache_miss, error, fallback, latency_update.
 

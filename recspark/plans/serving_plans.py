@@ -9,6 +9,7 @@ from recspark.plans.registry import register
 from recspark.plans.scoring_plans import _POP_KNOWN, _topn_sql
 from recspark.sources import (global_mean, item_factors_view, prediction_log_view, ratings_view,
                               request_log_view, user_factors_view)
+from recspark.session import scratch_path
 
 SV = ["ratings", "user_factors", "item_factors", "mu", "request_log"]
 
@@ -17,7 +18,7 @@ _GRP = ("CASE WHEN ('0x' || right(md5(cast(user_id AS VARCHAR) || '_default'), 1
         "THEN 'treatment' ELSE 'control' END")
 
 
-@register("serve_batch", f"""
+_SERVED = f"""
 SELECT user_id, movieId, score, rank, strategy, 10::BIGINT AS n, {_GRP} AS experiment_group FROM (
   SELECT userId AS user_id, movieId, predicted_rating AS score, rank, 'collaborative_filtering' AS strategy
   FROM ({_topn_sql("AND NOT EXISTS (SELECT 1 FROM ratings r WHERE r.userId = u.userId AND r.movieId = i.movieId)",
@@ -25,7 +26,10 @@ SELECT user_id, movieId, score, rank, strategy, 10::BIGINT AS n, {_GRP} AS exper
   UNION ALL
   SELECT u.user_id, p.movieId, p.score, p.rank, 'popular_fallback'
   FROM (SELECT DISTINCT user_id FROM request_log WHERE user_id NOT IN (SELECT userId FROM user_factors)) u
-  CROSS JOIN ({_POP_KNOWN}) p) s""", SV, round_cols=["score"], bigint_cols=["rank"])
+  CROSS JOIN ({_POP_KNOWN}) p) s"""
+
+
+@register("serve_batch", _SERVED, SV, round_cols=["score"], bigint_cols=["rank"])
 def serve_batch(spark, sf):
     """V1: materialised top-10 with strategy and experiment group for every requesting user."""
     ratings = ratings_view(spark, sf, persist=True)
@@ -35,6 +39,32 @@ def serve_batch(spark, sf):
                                seen=ratings.select("userId", "movieId"))
 
 
+@register("serve_refresh", _SERVED, SV, round_cols=["score"], bigint_cols=["rank"])
+def serve_refresh(spark, sf):
+    """V1 refresh: the table of the first half of the log, without the last 90
+    days' ratings, then only the users refreshed who have new ratings or are new
+    to the log; the same rows as serve_batch over everything."""
+    ratings = ratings_view(spark, sf, persist=True)
+    log = request_log_view(spark, sf)
+    # the model stays as it is between refreshes
+    uf, itf, mu = user_factors_view(spark, sf, ratings), item_factors_view(spark, sf), global_mean(ratings)
+    recent = F.col("timestamp") > ratings.agg(F.max("timestamp")).first()[0] - 90 * 86400
+    at = F.col("ts").cast("timestamp").cast("double")
+    first, last = log.agg(F.min(at), F.max(at)).first()
+    everyone = log.select(F.col("user_id").alias("userId")).distinct()
+    known = (log.where(at <= (first + last) / 2)
+             .select(F.col("user_id").alias("userId")).distinct())
+    old = ratings.where(~recent)
+    path = scratch_path(spark, "served")
+    serving.write_served(path, known, uf, itf, mu, scoring.popular_items(old, 10, items=itf), 10,
+                         seen=old.select("userId", "movieId"))
+    changed = (everyone.join(known, "userId", "left_anti")
+               .unionByName(known.join(ratings.where(recent).select("userId"), "userId", "left_semi")))
+    serving.refresh_served(path, changed, uf, itf, mu, scoring.popular_items(ratings, 10, items=itf), 10,
+                           seen=ratings.select("userId", "movieId"))
+    return serving.read_served(spark, path)
+
+
 _CLASSIFIED = """
 cl AS (SELECT *, coalesce(sum(CASE WHEN NOT is_error THEN 1 ELSE 0 END) OVER (
                    PARTITION BY user_id, n, experiment_group ORDER BY ts, event_id
