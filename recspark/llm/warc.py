@@ -9,8 +9,9 @@ by their origin, orders them by segment number, checks the total length, and
 decodes the framing.
 
 Equal payloads are found by digest in an aggregate that is combined before the
-shuffle; a payload is never shuffled unless it is segmented, and then a group
-holds one page.  Files hold at most ``FILE_RECORDS`` records, which bounds what
+shuffle.  While the repeated digests fit a broadcast, a payload is shuffled only
+if it is segmented, and then a group holds one page; beyond that the pages are
+written with row numbers and shuffled once by those, never by digest.  Files hold at most ``FILE_RECORDS`` records, which bounds what
 a task reads at once.
 
 Defined cases: a null or empty page has an empty payload; null ids and repeated
@@ -27,7 +28,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recspark.llm.common import arrow_rows, small
+from recspark.llm.common import arrow_rows, stored
 from recspark.session import scratch_path
 
 SEGMENT = 32 * 1024
@@ -36,6 +37,8 @@ CHUNK = 4096
 FILE_RECORDS = 2000
 #: payloads below this size are always responses
 REVISIT_BYTES = 1000
+#: most repeated digests (about 60 bytes each) that are broadcast
+BROADCAST_DIGESTS = 500_000
 
 _CRLF = "\r\n"
 
@@ -105,16 +108,27 @@ def records_of(name: str, page_id, url, html, digest: str, refers_to, segment: i
     return out
 
 
+def _typed(sized: DataFrame, same: DataFrame) -> DataFrame:
+    """``sized`` with the response's page (``ref``) of repeated payloads.  Many
+    repeated digests meet narrow (row, digest) rows, and the pages take what was
+    found by their row numbers, so no task gets the payloads of one digest."""
+    if same.count() <= BROADCAST_DIGESTS:
+        return sized.join(F.broadcast(same), F.col("digest") == F.col("_d"), "left")
+    rows = stored(sized.withColumn("_row", F.monotonically_increasing_id()), "pages")
+    refs = (rows.where(F.col("_b") >= REVISIT_BYTES).select("_row", "digest")
+            .join(same, F.col("digest") == F.col("_d")).select("_row", "ref"))
+    return rows.join(refs, "_row", "left")
+
+
 def write(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     """Archives the pages (page_id, url, html) under ``path``."""
     pages = pages.select("page_id", "url", "html")
     payload = F.coalesce("html", F.lit(""))
     sized = pages.withColumns({"digest": F.sha1(payload.cast("binary")), "_b": F.octet_length(payload)})
-    same = (sized.where(F.col("_b") >= REVISIT_BYTES).groupBy(F.col("digest").alias("_d"))
-            .agg(F.max("page_id").alias("ref"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
-    typed = sized.join(small(same), F.col("digest") == F.col("_d"), "left")
-    typed = typed.select("page_id", "url", "html", "digest",
-                         F.when(~F.col("page_id").eqNullSafe(F.col("ref")), F.col("ref")).alias("ref"))
+    same = stored(sized.where(F.col("_b") >= REVISIT_BYTES).groupBy(F.col("digest").alias("_d"))
+                  .agg(F.max("page_id").alias("ref"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "digests")
+    typed = _typed(sized, same).select("page_id", "url", "html", "digest",
+                                       F.when(~F.col("page_id").eqNullSafe(F.col("ref")), F.col("ref")).alias("ref"))
 
     def work(batches):
         import pyarrow as pa

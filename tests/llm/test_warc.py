@@ -48,6 +48,16 @@ def test_odd_pages(spark):
     assert _got(warc.round_trip(df)) == _expected(rows)
 
 
+def test_more_digests_than_a_broadcast(spark, monkeypatch):
+    """The same rows by row number, with a hot payload, equal ids and null ids."""
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    rows = [(i, "hot" * 400) for i in range(60)] + [(i, f"{i % 7}" * 1200) for i in range(100, 130)]
+    rows += [(5, "hot" * 400), (None, "hot" * 400), (None, None), (200, ""), (201, "short"), (202, "short"), (203, "one" * 500)]
+    df = spark.createDataFrame([(i, None, h, "clash") for i, h in rows], SCHEMA).repartition(5)
+    assert _got(warc.round_trip(df)) == _expected(rows)
+    assert warc.round_trip(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).collect() == []
 
