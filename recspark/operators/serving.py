@@ -91,6 +91,8 @@ def refresh_served(path: str, changed: DataFrame, user_factors: DataFrame, item_
 
     New rows are written to the shared folder first, so the partitions are
     replaced by a plain copy, and a refresh that was cut short can be run again.
+    Partitions and popular list are not replaced at one moment: readers wait for
+    the refresh to end.
     No changed user leaves all partitions as they are.  Users repeat or not in
     ``changed`` alike."""
     spark = changed.sparkSession
