@@ -56,16 +56,18 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 def words_of(doc_id, text: str | None) -> Counter:
     """Words of a text, as Latin-1 bytes, and how often they occur."""
-    runs = _RUN.findall((text or "").encode("latin-1", "replace").lower())
+    runs = Counter(_RUN.findall((text or "").encode("latin-1", "replace").lower()))
     found = Counter(runs)
     start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-    for run in list(found):
+    for run, n in runs.items():
         h = zlib.crc32(run if run.isascii() else run.decode("latin-1").encode(), start)
         if h % CUT_ONE_IN == 0:
-            at, n = h % len(run), found.pop(run)
+            # its own occurrences only: words that other runs were cut to stay
+            found[run] -= n
             if len(run) > LEAST_LENGTH:
+                at = h % len(run)
                 found[run[:at] + run[at + 1:]] += n
-    return found
+    return +found
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:

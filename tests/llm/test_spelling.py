@@ -118,3 +118,21 @@ def test_no_near_word_is_missed(words):
 def test_filters_stay_below_their_bound(most):
     f = sp.Filters({7: 100_000, 8: 3, 64: 50_000}, most)
     assert len(f.words) * 64 <= max(most, 3 * 512)
+
+
+def test_a_cut_run_that_gives_another_cut_run():
+    """A run is cut to a word that is itself a run of the text and cut: only
+    that run's own occurrences are cut again."""
+    for k in range(1, 200_000):
+        short = "abcdefg" + "".join(chr(97 + k // 26 ** i % 26) for i in range(4))
+        if zlib.crc32(f"1:{short}".encode()) % 31:
+            continue
+        long = next((w for at in range(len(short) + 1) for c in "abcdefghijklmnopqrstuvwxyz"
+                     for w in (short[:at] + c + short[at:],) for h in (zlib.crc32(f"1:{w}".encode()),)
+                     if h % 31 == 0 and w[:h % len(w)] + w[h % len(w) + 1:] == short), None)
+        if long:
+            break
+    at = zlib.crc32(f"1:{short}".encode()) % len(short)
+    want = {short.encode(): 2, (short[:at] + short[at + 1:]).encode(): 3}
+    for text in (f"{long} {long} {short} {short} {short}", f"{short} {long} {short} {long} {short}"):
+        assert sp.words_of(1, text) == want

@@ -42,6 +42,10 @@ def _cell(v):
 
 def frame_hash(df: pd.DataFrame) -> tuple[int, list[str], str, list[str]]:
     cols = sorted(df.columns)
+    # pandas holds integers with a missing one as floats; newer DuckDB as nullable integers
+    floats = [c for c in cols if pd.api.types.is_extension_array_dtype(df[c].dtype) and pd.api.types.is_integer_dtype(df[c].dtype)
+              and df[c].isna().any()]
+    df = df.astype({c: float for c in floats})
     rows = sorted("|".join(_cell(r[c]) for c in cols) for r in df[cols].to_dict("records"))
     h = hashlib.sha256("\n".join(rows).encode()).hexdigest()
     return len(df), cols, h, rows
