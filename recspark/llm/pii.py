@@ -18,19 +18,19 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recspark.llm.common import arrow_rows
-from recspark.session import configure
+from recspark.llm.common import arrow_rows, lean
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "phone_local")
 BASE = KINDS[:4]
 #: score before the context is read, and the least score of an added span
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.4, "phone_local": 0.4}
 THRESHOLD = 0.5
+#: texts that are redacted at a time
+_AT_ONCE = 512
 CONTEXT_CHARS = 48
 CONTEXT_UP, CONTEXT_DOWN = 0.2, 0.2
 #: words near a span that speak for its kind
@@ -223,14 +223,20 @@ def redacted(text: str | None) -> str | None:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with the spans of every text replaced; no document is lost."""
-    configure(docs.sparkSession)
+    def work(batches):
+        import pyarrow as pa
 
-    @F.pandas_udf("string")
-    def replaced(texts: pd.Series) -> pd.Series:
-        return texts.map(redacted, na_action="ignore")
+        for b in batches:
+            k = b.schema.get_field_index("text")
+            for at in range(0, b.num_rows, _AT_ONCE):
+                part = b.slice(at, _AT_ONCE)
+                texts = pa.array([redacted(t) for t in part.column(k).to_pylist()], b.schema.field(k).type)
+                yield part.set_column(k, b.schema.field(k), texts)
 
     cols = docs.columns
-    out = docs.withColumn("text", replaced("text"))
+    # whole rows in bounded batches: no queue of rows beside the texts in the executor,
+    # and workers that served earlier stages give their freed memory back first
+    out = arrow_rows(docs, lean(work), docs.schema)
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*[F.col(f"`{c}`") for c in cols])

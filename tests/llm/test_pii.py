@@ -115,3 +115,12 @@ def test_long_runs_of_zeros_are_numbers(make_docs, part):
         parts[part] = "9" * zeros
         rows = {r["doc_id"]: r for r in pii.digest(make_docs([ok, ".".join(parts)])).collect()}
         assert rows[0]["n_ip"] == 1 and f"ip:0:{len(ok)}" in rows[0]["spans"] and rows[1]["n_ip"] == 0
+
+
+def test_redact_takes_whole_rows_in_bounded_batches(make_docs):
+    docs = make_docs([(k, "mail a.b@c.de now" if k % 2 else None) for k in range(1500)])
+    out = pii.redact(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+    rows = {r["doc_id"]: (r["text"], r["n_chars"], r["lang"]) for r in out.collect()}
+    assert rows == {k: (("mail <EMAIL> now", 16, "en") if k % 2 else (None, None, "en")) for k in range(1500)}
