@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recspark import schemas
-from recspark.session import path_exists
+from recspark.session import path_exists, scratch_path
 
 
 class ExperimentTracker:
@@ -106,6 +106,10 @@ class ExperimentTracker:
         of experiment and run name, and of the number of earlier runs of that
         name when there are some, so logging again makes new runs."""
         now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+        # four tables are made of the results: they are computed once
+        path = scratch_path(self.spark, "results")
+        results.write.parquet(path)
+        results = self.spark.read.schema(results.schema).parquet(path)
         run = F.concat_ws("_", F.lit(self.experiment), F.col(name_col).cast("string"))
         base = results.withColumn("run_id", F.md5(run))
         if path_exists(self.spark, f"{self.root}/runs"):

@@ -40,3 +40,51 @@ def test_exclusion_without_item_excludes_nothing(spark, broadcast_bytes):
 def test_odd_width_raises(spark, broadcast_bytes):
     with pytest.raises(Exception, match="feature vectors of 2 and of 3 numbers"):
         _lists(spark, broadcast_bytes, width=2).collect()
+
+
+def test_logged_results_are_computed_once(spark, tmp_path):
+    """Runs, params, metrics and tags are made of one computation of the results."""
+    from pyspark.sql import functions as F
+
+    from recspark.operators.tracking import ExperimentTracker
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(x):
+        seen.add(1)
+        return x * 1.0
+
+    results = spark.createDataFrame([("a", 1), ("b", 2)], "name string, x long").select("name", "x", value("x").alias("rmse"))
+    tracker = ExperimentTracker(spark, str(tmp_path), "once")
+    tracker.log_results(results, "name", ["x"], ["rmse"])
+    assert seen.value == 2
+    assert sorted((r["key"], r["value"]) for r in tracker.table("run_metrics").collect()) == [("rmse", 1.0), ("rmse", 2.0)]
+
+
+def test_grid_shares_columns_of_equal_damping(spark, monkeypatch):
+    from recspark.operators import tuning
+
+    rows = [(u, i, ((u * 7 + i * 3) % 10 + 1) / 2) for u in range(12) for i in range(9) if (u + i) % 4]
+    ratings = spark.createDataFrame(rows, "userId long, movieId long, rating double")
+    cfg = lambda name, u, i, s: {"name": name, "reg_user": u, "reg_item": i, "n_sweeps": s}
+    configs = [cfg("a", 5.0, 2.0, 1), cfg("b", 5.0, 2.0, 3), cfg("c", 1.0, 2.0, 2)]
+    alone = {c["name"]: tuning.bias_grid(ratings, ratings, [c]).first() for c in configs}
+    widths, kept = [], type(ratings).checkpoint
+    monkeypatch.setattr(type(ratings), "checkpoint", lambda self, *a: widths.append(len(self.columns) - 1) or kept(self, *a))
+    got = {r["name"]: r for r in tuning.bias_grid(ratings, ratings, configs).collect()}
+    for name, r in alone.items():
+        assert got[name]["val_rmse"] == pytest.approx(r["val_rmse"], abs=1e-12)
+        assert got[name]["val_mae"] == pytest.approx(r["val_mae"], abs=1e-12)
+    assert widths == [2, 2, 2, 2, 1, 1]  # items, then users, of three sweeps
+
+
+def test_gradient_descent_sends_no_null_lists(spark, monkeypatch):
+    from recspark.operators import sgd
+
+    plans, written = [], sgd._written
+    monkeypatch.setattr(sgd, "_written", lambda df, name: plans.append(df._jdf.queryExecution().analyzed().toString()) or written(df, name))
+    rows = [(u, i, ((u + i) % 10 + 1) / 2) for u in range(6) for i in range(5)]
+    sgd.fit_sgd(spark.createDataFrame(rows, "userId long, movieId long, rating double"), n_factors=3, n_epochs=1, blocks=2)
+    cells = [p for p in plans if "FlatMapGroupsInArrow" in p]
+    assert len(cells) == 2 and not any("cast(null as array<double>)" in p for p in cells)
