@@ -88,3 +88,13 @@ def test_gradient_descent_sends_no_null_lists(spark, monkeypatch):
     sgd.fit_sgd(spark.createDataFrame(rows, "userId long, movieId long, rating double"), n_factors=3, n_epochs=1, blocks=2)
     cells = [p for p in plans if "FlatMapGroupsInArrow" in p]
     assert len(cells) == 2 and not any("cast(null as array<double>)" in p for p in cells)
+
+
+def test_markers_of_a_block_are_bounded(spark):
+    """Few users and many exclusions (a refresh): blocks follow the exclusions."""
+    users = spark.range(1000).selectExpr("id u", "0D b", "array(1F) f")
+    items = spark.createDataFrame([(1, 0.0, [1.0])], "i long, b double, f array<float>")
+    got = blocks.block_topk(users, items, 1, left_id="u", right_id="i", left_vec="f", right_vec="f", left_bias="b",
+                            right_bias="b", exclude=spark.range(40_000_000).selectExpr("id u", "1L i"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "pmod(xxhash64(_lid" in plan and ", 40)" in plan
