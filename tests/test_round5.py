@@ -98,3 +98,29 @@ def test_markers_of_a_block_are_bounded(spark):
                             right_bias="b", exclude=spark.range(40_000_000).selectExpr("id u", "1L i"))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "pmod(xxhash64(_lid" in plan and ", 40)" in plan
+
+
+@pytest.mark.parametrize("limit, joins", [(1 << 20, 1), (0, 0)])
+def test_pairs_are_not_moved_with_vectors(spark, limit, joins):
+    """Item factors that were measured to be small are broadcast whatever Spark's own threshold."""
+    from recspark.operators import scoring
+
+    users = spark.createDataFrame([(1, 0.5, [1.0, 2.0]), (2, 0.0, [0.5, 0.5])], "userId long, bias double, features array<double>")
+    items = spark.createDataFrame([(1, 0.1, [1.0, 0.0]), (3, 0.2, [0.0, 1.0])], "movieId long, bias double, features array<double>")
+    pairs = spark.createDataFrame([(1, 1), (1, 3), (2, 3), (2, 4), (5, 1), (None, None)], "userId long, movieId long")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.recspark.topk.broadcastBytes": str(limit)}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = scoring.predict_explicit(pairs, users, items, 1.0)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        rows = {(r["userId"], r["movieId"]): (round(r["predicted_rating"], 6), r["was_impossible"]) for r in got.collect()}
+        implicit = {(r["userId"], r["movieId"]): r["cold_start_type"] for r in scoring.predict_implicit(pairs, users, items).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert plan.count("BroadcastHashJoin") == joins
+    assert rows == {(1, 1): (2.6, False), (1, 3): (3.7, False), (2, 3): (1.7, False), (2, 4): (1.0, True), (5, 1): (1.1, True),
+                    (None, None): (1.0, True)}
+    assert implicit == {(1, 1): None, (1, 3): None, (2, 3): None, (2, 4): "movie", (5, 1): "user", (None, None): "user"}
