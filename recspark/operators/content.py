@@ -81,13 +81,25 @@ def content_factors(movies: DataFrame, n_components: int = 50, vocab_size: int =
     if not names:
         return ids.select("movieId", F.array().cast("array<double>").alias("features"))
     mean, vec, _ = components(weights, len(names), items, n_components)
-    centre = F.array(*[F.lit(float(-x)) for x in mean @ vec])
-    loadings = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(vec)], "t int, load array<double>")
-    parts = weights.join(F.broadcast(loadings), "t").select("movieId", F.posexplode("load").alias("k", "x"), "w")
-    sums = parts.groupBy("movieId", "k").agg(F.sum(F.col("x") * F.col("w")).alias("v"))
-    rows = sums.groupBy("movieId").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("v"))
-    own = F.zip_with("v", centre, lambda a, b: a + b)
-    return ids.join(rows, "movieId", "left").select("movieId", F.coalesce(own, centre).alias("features"))
+    centre = -(mean @ vec)
+
+    def project(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            terms, n = b.column(1).flatten(), np.diff(b.column(1).offsets.to_numpy())
+            row = np.repeat(np.arange(b.num_rows), n)
+            x = np.zeros((b.num_rows, vec.shape[1]))
+            np.add.at(x, row, vec[terms.field("t").to_numpy()] * terms.field("w").to_numpy()[:, None])
+            x += centre
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * vec.shape[1], pa.int32()), pa.array(x.ravel()))
+            yield pa.record_batch([b.column(0), lists], names=["movieId", "features"])
+
+    # an item's terms meet in one short list, in order; only lists are moved, not an item's components one by one
+    known = weights.groupBy("movieId").agg(F.array_sort(F.collect_list(F.struct("t", "w"))).alias("x"))
+    none = F.array().cast(known.schema["x"].dataType)
+    rows = ids.join(known, "movieId", "left").select("movieId", F.coalesce("x", none).alias("x"))
+    return rows.mapInArrow(project, f"movieId {ids.schema['movieId'].dataType.simpleString()}, features array<double>")
 
 
 def content_similar(movies: DataFrame, n: int = 10, n_components: int = 50, vocab_size: int = 1024) -> DataFrame:
